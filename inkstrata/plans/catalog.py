@@ -1,15 +1,441 @@
-"""Registry of the engine's queries and their SQL counterparts."""
+"""The engine's queries on the given tables, one for each operator."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from inkstrata.functions import text as T
+from inkstrata.operators import index, mining, pool, preference, quality, search, selection
+from inkstrata.session import table
+from inkstrata.streaming import reactions as stream
+
+from . import oracle
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SURNAME = "岑"
+
+
+def query(f):
+    _QUERIES[f.__name__] = f
+    return f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
+
+
+class Tables:
+    """The tables of a folder as the operators see them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.at = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return table(self.spark, self.at, name)
+
+    @property
+    def passages(self) -> DataFrame:
+        return index.distinct_passages(table(self.spark, self.at, "corpus_passages"))
+
+    @property
+    def aliases(self) -> tuple[str, str]:
+        return T.alias_strings(table(self.spark, self.at, "char_aliases"))
+
+    @property
+    def lexicon(self) -> DataFrame:
+        return mining.lexicon(table(self.spark, self.at, "name_candidates"))
+
+    @property
+    def name_queries(self) -> DataFrame:
+        names = table(self.spark, self.at, "name_candidates").select(T.given_query(F.col("full_name"), SURNAME).alias("query"))
+        raw, normal = self.aliases
+        plain = T.simplified(F.col("query"), raw, normal)
+        return names.where("query <> ''").select("query", F.substring(plain, 1, 1).alias("u1"), F.when(F.char_length(plain) > 1, F.substring(plain, 2, 1)).alias("u2")).distinct()
+
+    @property
+    def factory(self) -> DataFrame:
+        score = F.when(~F.isnan("score"), F.col("score"))
+        return table(self.spark, self.at, "factory_passages").where("book_id is not null").select("id", F.lower(F.regexp_replace("book_id", r"(?U)^\s+|\s+$", "")).alias("book_id"), "work_title", "text", "normalized_text", score.alias("score")).distinct()
+
+    @property
+    def items(self) -> DataFrame:
+        v = F.col("vec_id")
+        bounded = F.transform(F.slice("embedding", 1, 13), lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x.cast("double") + 0.5)))
+        letter = lambda n: F.chr(F.lit(97) + n % 26)
+        return self.embeddings.select(v.cast("string").alias("item"), F.concat(letter(v), letter(F.floor(v / 26))).alias("name"), bounded.alias("features"), F.concat(F.lit("s"), v % 40).alias("sound"), (v % 5).alias("book"), (v % 4).alias("relation"), F.col("label").alias("category"), (v % 6).alias("style"))
+
+    @property
+    def item_features(self) -> DataFrame:
+        return self.items.select("item", "features")
+
+    @property
+    def reactions(self) -> DataFrame:
+        kind = F.create_map(*[F.lit(x) for x in ("purchase", "love", "signup", "like", "error", "dislike", "view", "skip")])
+        rows = self.events.where("event_type <> 'click' and user_id is not null")
+        return rows.select(F.col("user_id").alias("user"), (F.col("event_id") % 500).cast("string").alias("item"), F.get(F.array(kind[F.col("event_type")]), 0).alias("reaction"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+
+    @property
+    def shown(self) -> DataFrame:
+        return self.events.where("event_type = 'click' and user_id is not null").select(F.col("user_id").alias("user"), (F.col("event_id") % 500).cast("string").alias("item"))
+
+    @property
+    def users(self) -> DataFrame:
+        return preference.reaction_weights(self.reactions, self.item_features, 13)
+
+    @property
+    def fits(self) -> DataFrame:
+        return preference.fits(self.users, self.item_features, preference.explicit_feedback(self.reactions), self.shown.distinct())
+
+
+def _search(t: Tables) -> DataFrame:
+    return search.search(t.name_queries, t.passages, t.corpus_books, t.aliases)
+
+
+@query
+def evidence_search(spark, sf_dir):
+    return _search(Tables(spark, sf_dir))
+
+
+@query
+def evidence_citations(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return search.citations(_search(t), t.passages, t.corpus_books)
+
+
+@query
+def evidence_grades(spark, sf_dir):
+    return search.grade_counts(_search(Tables(spark, sf_dir)))
+
+
+@query
+def evidence_single_unit(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    q = t.name_queries.select(F.col("u1").alias("query"), "u1", F.lit(None).cast("string").alias("u2"))
+    return search.search(q, t.passages, t.corpus_books, t.aliases)
+
+
+@query
+def ordinals(spark, sf_dir):
+    return index.ordinals(Tables(spark, sf_dir).passages)
+
+
+@query
+def posting_build(spark, sf_dir):
+    return index.postings(Tables(spark, sf_dir).passages)
+
+
+@query
+def posting_rank(spark, sf_dir):
+    return index.posting_ranks(Tables(spark, sf_dir).passages)
+
+
+@query
+def alias_pairs(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return index.alias_pairs(t.passages, t.char_aliases)
+
+
+@query
+def bucket_histogram(spark, sf_dir):
+    return index.bucket_histogram(Tables(spark, sf_dir).passages)
+
+
+@query
+def sentence_split(spark, sf_dir):
+    return Tables(spark, sf_dir).passages.select("id", F.posexplode(T.split_sentences(F.col("text"))).alias("n", "sentence"))
+
+
+@query
+def search_text(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return t.passages.select("id", T.han_only(T.simplified(F.col("text"), *t.aliases)).alias("plain"))
+
+
+@query
+def indexed_render(spark, sf_dir):
+    return Tables(spark, sf_dir).passages.where("normalized_text is not null").select("id", T.indexed_text(F.col("normalized_text")).alias("rendered"), T.indexed_length(F.col("normalized_text")).alias("size"))
+
+
+@query
+def corpus_report(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return quality.report(t.corpus_books, t.passages)
+
+
+@query
+def quality_issues(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return quality.issues(t.corpus_books, t.corpus_passages)
+
+
+@query
+def ready_gate(spark, sf_dir):
+    return quality.coverage(Tables(spark, sf_dir).corpus_books)
+
+
+@query
+def citation_verify(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return quality.citation_issues(t.name_candidates, t.passages)
+
+
+@query
+def name_validation(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return quality.name_validation(t.lexicon, t.name_candidates.select("id", "quote", "work_title"), t.name_candidates)
+
+
+@query
+def lexicon(spark, sf_dir):
+    return Tables(spark, sf_dir).lexicon
+
+
+@query
+def mined_pairs(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return mining.pairs(t.passages, t.corpus_books, t.lexicon, t.aliases)
+
+
+@query
+def discovery_pool(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return mining.best_evidence(mining.pairs(t.passages, t.corpus_books, t.lexicon, t.aliases))
+
+
+@query
+def discovery_quota(spark, sf_dir):
+    return mining.quota(discovery_pool(spark, sf_dir)).select("name", "grade", "score", "id", "picked", "place")
+
+
+@query
+def discovery_modes(spark, sf_dir):
+    shown = discovery_pool(spark, sf_dir)
+    a = F.col("grade") == "A"
+    worth = (F.col("feminine") >= 4) & (F.col("usability") >= 3.5) & (F.substring("name", 1, 1) != F.substring("name", 2, 1))
+    return shown.select("name", a.alias("a_only"), worth.alias("evidence"))
+
+
+@query
+def rule_screen(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    rows = discovery_pool(spark, sf_dir).join(t.passages.select("id", "text"), "id")
+    ok = (F.col("grade") == "A") & (F.substring("name", 1, 1) != F.substring("name", 2, 1)) & ~F.col("name").rlike(f"[{mining.FUNCTION_CHARACTERS}]") & ~F.col("text").rlike(f"[{mining.WINDOW_NEGATIVE}]")
+    return rows.where(ok & (F.col("feminine") >= 4) & (F.col("rarity") >= 3.5) & (F.col("usability") >= 3.6)).select("name", "id", "score")
+
+
+@query
+def hash_sample(spark, sf_dir):
+    return selection.hash_sample(discovery_pool(spark, sf_dir).select("name", "grade"), "name", 24, 7)
+
+
+@query
+def raw_pairs(spark, sf_dir):
+    return mining.raw_pairs(Tables(spark, sf_dir).lexicon)
+
+
+@query
+def raw_filter(spark, sf_dir):
+    found = mining.browse(mining.raw_pairs(Tables(spark, sf_dir).lexicon), feminine=4.0)
+    return found.select("name", "feminine", "usability", "family")
+
+
+@query
+def interleave(spark, sf_dir):
+    return mining.interleave(mining.raw_pairs(Tables(spark, sf_dir).lexicon))
+
+
+@query
+def allusion_pairs(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    quotes = t.name_candidates.select("id", T.simplified(F.col("quote"), *t.aliases).alias("quote"))
+    return mining.allusions(quotes, t.lexicon)
+
+
+@query
+def clause_offsets(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return mining.clauses(t.factory, *t.aliases)
+
+
+@query
+def windows(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return mining.windows(t.factory, t.lexicon, t.aliases).select("id", "start", "end", "text", T.round_half_up(F.col("score"), 6).alias("score"), "opportunities", "naming")
+
+
+def _nameability(t: Tables) -> DataFrame:
+    return mining.nameability(t.factory, mining.windows(t.factory, t.lexicon, t.aliases), t.corpus_books)
+
+
+@query
+def nameability(spark, sf_dir):
+    scored = _nameability(Tables(spark, sf_dir))
+    return scored.select("id", T.round_half_up(F.col("score"), 6).alias("score"), "naming")
+
+
+@query
+def source_filter(spark, sf_dir):
+    return Tables(spark, sf_dir).factory.where(mining.usable_source(F.col("text"), F.col("normalized_text"), F.col("score"))).select("id", "book_id", "score")
+
+
+def _usable(t: Tables) -> DataFrame:
+    return t.factory.where(mining.usable_source(F.col("text"), F.col("normalized_text"), F.col("score")))
+
+
+@query
+def passage_pool(spark, sf_dir):
+    return mining.selection_pool(_usable(Tables(spark, sf_dir)), 4)
+
+
+@query
+def mmr_passages(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return selection.diverse_passages(mining.selection_pool(_usable(t), 4), _nameability(t))
+
+
+@query
+def batches(spark, sf_dir):
+    return mining.batches(mmr_passages(spark, sf_dir), 8)
+
+
+@query
+def capped_select(spark, sf_dir):
+    score = F.coalesce("feminine", F.lit(0.0)) + F.coalesce("usability", F.lit(0.0)) + F.coalesce("rarity", F.lit(0.0))
+    rows = Tables(spark, sf_dir).name_candidates.select(F.col("id").alias("item"), F.col("given_name").alias("name"), F.col("book_id").alias("book"), F.col("first_category").alias("category"), score.alias("score"))
+    return selection.capped_selection(rows, 20)
+
+
+@query
+def pool_merge(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    mined = discovery_pool(spark, sf_dir).select("name", F.concat(F.lit("mined:"), "name").alias("id"), F.col("id").alias("passage_id"), "grade", "feminine")
+    curated = t.name_candidates.select(F.col("given_name").alias("name"), "id", "passage_id", "grade", "feminine")
+    return pool.merge_by_name([mined, curated])
+
+
+@query
+def culture_score(spark, sf_dir):
+    rows = Tables(spark, sf_dir).name_candidates
+    score = pool.weighted_score({"feminine": 5.0, "family_score": 3.0, "rarity": 3.0, "usability": 2.0}, F.col("grade").isin("A", "B"))
+    return pool.competition_rank(rows.select("id", "given_name", score.alias("score")), "score").select("id", "given_name", "score", "rank")
+
+
+@query
+def features_auto(spark, sf_dir):
+    return pool.features(Tables(spark, sf_dir).name_candidates).select("item", F.posexplode("features").alias("k", "value")).withColumn("value", T.round_half_up(F.col("value"), 9))
+
+
+@query
+def compare_pivot(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    chosen = [r[0] for r in t.name_candidates.orderBy("id").select("given_name").limit(3).collect()]
+    named = dict(zip(chosen, ("n1", "n2", "n3")))
+    rows = t.name_candidates.replace(named, subset=["given_name"])
+    return pool.compare(rows, list(named.values()), ["grade", "category", "book_title", "quote", "work_title", "first_category", "second_category"])
+
+
+@query
+def scenarios(spark, sf_dir):
+    return pool.scenarios(spark, "2026-10-01", "2026-10-11").withColumn("day", F.col("day").cast("string"))
+
+
+@query
+def page(spark, sf_dir):
+    rows = mining.raw_pairs(Tables(spark, sf_dir).lexicon).select("name", "feminine", "usability")
+    return selection.page(rows, [F.desc("feminine"), F.desc("usability"), F.asc("name")], 2, 48)
+
+
+@query
+def pointer_resolve(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    names = t.name_candidates.select("id", "passage_id", F.posexplode(T.characters(F.col("given_name"))).alias("n", "c"))
+    at = names.join(t.passages.select(F.col("id").alias("passage_id"), "normalized_text"), "passage_id").select("id", "n", "passage_id", (F.instr("normalized_text", F.col("c")) - 1).alias("place"))
+    return pool.pointers(at, t.passages)
+
+
+@query
+def reaction_fold(spark, sf_dir):
+    users = Tables(spark, sf_dir).users
+    return users.select("user", F.posexplode("weights").alias("k", "weight"), "events").withColumn("weight", T.round_half_up(F.col("weight"), 6))
+
+
+@query
+def reaction_stream(spark, sf_dir):
+    """The streaming twin: the same weights, from the events as a stream."""
+    t = Tables(spark, sf_dir)
+    weights = stream.replay(spark, t.reactions, t.item_features, 13)
+    return weights.select("user", F.posexplode("weights").alias("k", "weight"), "events").withColumn("weight", T.round_half_up(F.col("weight"), 6))
+
+
+@query
+def explicit_feedback(spark, sf_dir):
+    return preference.explicit_feedback(Tables(spark, sf_dir).reactions)
+
+
+@query
+def exposure(spark, sf_dir):
+    return preference.exposures(Tables(spark, sf_dir).shown).withColumn("penalty", T.round_half_up(F.col("penalty"), 9))
+
+
+@query
+def recent_items(spark, sf_dir):
+    return pool.recent(Tables(spark, sf_dir).reactions)
+
+
+@query
+def list_toggles(spark, sf_dir):
+    return pool.toggled(Tables(spark, sf_dir).shown)
+
+
+@query
+def fit(spark, sf_dir):
+    return Tables(spark, sf_dir).fits.withColumn("fit", T.round_half_up(F.col("fit"), 6))
+
+
+@query
+def reasons(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    out = preference.reasons(t.users, t.item_features, t.shown.distinct(), [f"f{k:02d}" for k in range(13)])
+    return out.select("user", "item", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query
+def pairwise_fold(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    names = t.name_candidates.select(F.explode(F.array("given_name", "full_name")).alias("name"), F.col("given_name").alias("item"))
+    rows = t.pairwise_feedback.groupBy("feedback_id").agg(F.min(F.struct("received_at", "profile_id", "left_name", "right_name", "choice", "recorded_at")).alias("f")).select("feedback_id", "f.*")
+    sides = rows.join(names.select(F.col("name").alias("left_name"), F.col("item").alias("left")), "left_name").join(names.select(F.col("name").alias("right_name"), F.col("item").alias("right")), "right_name")
+    choices = sides.where("profile_id is not null and left <> right").select(F.col("profile_id").alias("profile"), "left", "right", F.lower(F.trim("choice")).alias("choice"), F.col("recorded_at").alias("at"), F.col("feedback_id").alias("seq"))
+    return preference.pairwise_weights(choices, pool.features(t.name_candidates), [0.0] * 13)
+
+
+@query
+def item_similarity(spark, sf_dir):
+    """Similarity of the last six items of each user with each other."""
+    t = Tables(spark, sf_dir)
+    mine = pool.recent(t.reactions).join(t.items, "item")
+    side = lambda p: mine.select("user", *[F.col(c).alias(f"{p}{c}") for c in t.items.columns])
+    return side("a_").join(side("b_"), "user").where("a_item < b_item").select("user", "a_item", "b_item", T.round_half_up(selection.similarity("a_", "b_"), 9).alias("similarity"))
+
+
+@query
+def adaptive_next(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    state = t.reactions.groupBy("user").agg(F.countDistinct("item").cast("int").alias("step"))
+    free = t.fits.join(t.reactions.select("user", "item").distinct(), ["user", "item"], "left_anti")
+    out = selection.next_items(t.items, state, pool.recent(t.reactions).select("user", "item"), free, preference.exposures(t.shown).select("user", "item", "penalty"))
+    return out.withColumn("score", T.round_half_up(F.col("score"), 6))
+
+
+@query
+def mmr_batch(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    pools = t.fits.join(t.items, "item").join(preference.exposures(t.shown).select("user", "item", "penalty"), ["user", "item"], "left")
+    return selection.mmr_batches(pools.withColumn("user", F.col("user").cast("string")))
