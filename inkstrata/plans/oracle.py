@@ -61,9 +61,9 @@ lx as (select unit, min(case when i = 1 then first_category else second_category
 MINED = P + "," + LEX + f""",
 src as (select pp.*, b.title, b.category as book_category, b.priority, coalesce(b.source.segmentation = 'punctuated', false) as punctuated,
   length(coalesce(normalized_text, '')) + least(length(regexp_replace(text, '[^()（）]', '', 'g')), 10) * 80 as penalty from pp join corpus_books b on b.id = book_id where b.source is not null),
-un as (select *, plain[at + 1] as unit, row_number() over (partition by id order by at) as i from (select *, unnest(range(0, length(plain))) as at from src) where regexp_matches(plain[at + 1], '[{HAN}]')),
+un as (select *, plain[pos + 1] as unit, row_number() over (partition by id order by pos) as i from (select *, unnest(range(0, length(plain))) as pos from src) where regexp_matches(plain[pos + 1], '[{HAN}]')),
 prs as (select a.id, a.book_id, a.title, a.book_category, a.priority, a.punctuated, a.penalty, a.unit as u1, b.unit as u2, b.i - a.i as distance from un a join un b on a.id = b.id and b.i between a.i + 1 and a.i + 4
-  where (b.i = a.i + 1 and b.at = a.at + 1) or (b.i > a.i + 1 and a.punctuated)),
+  where (b.i = a.i + 1 and b.pos = a.pos + 1) or (b.i > a.i + 1 and a.punctuated)),
 mined as (select u1 || u2 as name, case when distance = 1 and punctuated then 'A' else 'B' end as grade, id, book_id, title, book_category, distance,
   case when distance = 1 and punctuated then 10000 else 0 end + (x.feminine + y.feminine) / 2 * 120 + (x.usability + y.usability) / 2 * 90 + (x.rarity + y.rarity) / 2 * 45 + (x.family + y.family) * 80 + (4 - priority) * 60 - penalty as score,
   (x.feminine + y.feminine) / 2 as feminine, (x.rarity + y.rarity) / 2 as rarity, (x.usability + y.usability) / 2 as usability, x.family + y.family as family, x.category as category1, y.category as category2
@@ -109,18 +109,18 @@ us as (select * from fp where length(normalized_text) between 8 and 480 and not
 
 ITEMS = """it as (select cast(vec_id as varchar) as item, chr(cast(97 + vec_id % 26 as int)) || chr(cast(97 + floor(vec_id / 26) % 26 as int)) as name,
   list_transform(embedding[1:13], lambda x: least(1.0, greatest(0.0, cast(x as double) + 0.5))) as features, 's' || (vec_id % 40) as sound, vec_id % 5 as book, vec_id % 4 as relation, label as category, vec_id % 6 as style from embeddings),
-re as (select user_id as "user", cast(event_id % 500 as varchar) as item, case event_type when 'purchase' then 'love' when 'signup' then 'like' when 'error' then 'dislike' when 'view' then 'skip' end as reaction, ts as at, event_id as seq from events where event_type <> 'click' and user_id is not null),
+re as (select user_id as "user", cast(event_id % 500 as varchar) as item, case event_type when 'purchase' then 'love' when 'signup' then 'like' when 'error' then 'dislike' when 'view' then 'skip' end as reaction, ts as tm, event_id as seq from events where event_type <> 'click' and user_id is not null),
 sh as (select user_id as "user", cast(event_id % 500 as varchar) as item from events where event_type = 'click' and user_id is not null),
 sg as (select *, case reaction when 'love' then 1.0 when 'like' then 0.45 when 'dislike' then -1.0 else 0.0 end::double as worth from re),
-dl as (select sg.*, worth - coalesce(lag(worth) over (partition by "user", sg.item order by at, seq), 0) as delta, features from sg join it using (item)),
-wt as (select "user", list_reduce(list(struct_pack(w := features, d := delta) order by at, seq),
+dl as (select sg.*, worth - coalesce(lag(worth) over (partition by "user", sg.item order by tm, seq), 0) as delta, features from sg join it using (item)),
+wt as (select "user", list_reduce(list(struct_pack(w := features, d := delta) order by tm, seq),
   lambda a, s: struct_pack(w := list_transform(list_zip(a.w, s.w), lambda z: floor(least(3.0, greatest(-3.0, z[1] + 0.55 * s.d * (z[2] - 0.5))) * 1e12 + 0.5) / 1e12), d := 0.0::double),
   struct_pack(w := list_transform(range(13), lambda i: 0.0::double), d := 0.0::double)).w as weights, count(*) as events from dl group by "user"),
-ex as (select "user", item, arg_max(worth, struct_pack(a := at, b := seq)) as signal from sg group by all having signal <> 0),
+ex as (select "user", item, arg_max(worth, struct_pack(a := tm, b := seq)) as signal from sg group by all having signal <> 0),
 ft0 as (select s."user", s.item, list_sum(list_transform(list_zip(weights, features), lambda z: z[1] * (z[2] - 0.5))) + coalesce(signal, 0) * 1.25 as u from (select distinct * from sh) s join wt using ("user") join it using (item) left join ex on ex."user" = s."user" and ex.item = s.item),
 ft as (select "user", item, case when u >= 36 then 1.0 when u <= -36 then 0.0 else 1 / (1 + exp(-u)) end as fit from ft0),
 pe as (select "user", item, count(*) as shown, least(0.48, ln(1 + count(*)) * 0.1) as penalty from sh group by all),
-rc as (select "user", item, row_number() over (partition by "user" order by min(struct_pack(a := at, b := seq)) desc) as back from re group by all qualify back <= 6)"""
+rc as (select "user", item, row_number() over (partition by "user" order by min(struct_pack(a := tm, b := seq)) desc) as back from re group by "user", item qualify back <= 6)"""
 
 
 def _similarity(a: str, b: str) -> str:
@@ -201,7 +201,7 @@ _POOL = USABLE + """,
 z as (select count(*) as n, count(distinct book_id) as books, count(distinct (book_id, work_title)) filter (work_title is not null) as works from us),
 g as (select n, books, works, least(n, 4 * books) as target from z),
 l as (select *, least(n, greatest(256, target * 6)) as pool, greatest(1, cast(ceil(target / books) as bigint)) as fallback from g)
-select id, book_id, work_title, score, k <= pool as is_best, b <= fallback as is_fallback, target, greatest(3, -(-target * 8 // 100), -(-target // books)) as book_limit, greatest(2, -(-target * 4 // 100), -(-target // works)) as work_limit
+select id, book_id, work_title, score, k <= pool as is_best, b <= fallback as is_fallback, target, greatest(3, (target * 8 + 99) // 100, (target + books - 1) // books) as book_limit, greatest(2, (target * 4 + 99) // 100, (target + works - 1) // works) as work_limit
 from (select *, row_number() over (order by score desc nulls last, id) as k, row_number() over (partition by book_id order by score desc nulls last, id) as b from us), l where k <= pool or b <= fallback"""
 
 _COMPARE = """with c as (select *, row_number() over (order by id) as n from name_candidates qualify n <= 3),
@@ -218,7 +218,7 @@ select name, source, id, grade, feminine, coalesce(citations, []) as citations f
 
 _ALLUSIONS = """with al as (select string_agg(raw, '' order by raw) as raw, string_agg(normalized, '' order by raw) as normal from char_aliases), """ + LEX + """,
 q as (select id, translate(quote, (select raw from al), (select normal from al)) as quote from name_candidates),
-u as (select id, quote, at, unit, row_number() over (partition by id order by at) as i from (select id, quote, at, quote[at] as unit from (select *, unnest(range(1, length(quote) + 1)) as at from q)) where unit in (select unit from lx))
+u as (select id, quote, pos, unit, row_number() over (partition by id order by pos) as i from (select id, quote, pos, quote[pos] as unit from (select *, unnest(range(1, length(quote) + 1)) as pos from q)) where unit in (select unit from lx))
 select distinct a.id, a.unit || b.unit as name, case when contains(a.quote, a.unit || b.unit) then 'A' else 'B' end as grade from u a join u b on a.id = b.id and b.i between a.i + 1 and a.i + 12 and a.unit <> b.unit"""
 
 _INTERLEAVE = RAW + """,
