@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstrata.functions import text as T
 
+from .numbering import place_within
+
 
 def distinct_passages(passages: DataFrame) -> DataFrame:
     """Every passage once: a repeated delivery differs in its time of ingestion only."""
@@ -14,20 +16,11 @@ def distinct_passages(passages: DataFrame) -> DataFrame:
 
 
 def ordinals(passages: DataFrame) -> DataFrame:
-    """``id, book_ord, work_ord, passage_ord``, 0-based, in the order (book_id, ord, id); works by first appearance.
-
-    Only counts and minima per book are ordered globally; the numbering itself runs within a book and is shifted.
-    """
-    rows = passages.select("id", "book_id", "work_id", "ord")
-    within = Window.partitionBy("book_id").orderBy("ord", "id")
-    firsts = rows.groupBy("book_id", "work_id").agg(F.min(F.struct("ord", "id")).alias("at"))
-    works = firsts.withColumn("w", F.row_number().over(Window.partitionBy("book_id").orderBy("at")) - 1)
-    books = rows.groupBy("book_id").agg(F.count("*").alias("n")).join(firsts.groupBy("book_id").agg(F.count("*").alias("nw")), "book_id")
-    before = Window.orderBy("book_id").rowsBetween(Window.unboundedPreceding, -1)  # one row for each book
-    shifts = books.select("book_id", (F.row_number().over(Window.orderBy("book_id")) - 1).alias("book_ord"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("nw").over(before), F.lit(0)).alias("w0"))
-    numbered = rows.withColumn("p", F.row_number().over(within) - 1)
-    joined = numbered.join(works.select("book_id", "work_id", "w"), ["book_id", "work_id"]).join(shifts, "book_id")
-    return joined.select("id", "book_ord", (F.col("w0") + F.col("w")).alias("work_ord"), (F.col("p0") + F.col("p")).alias("passage_ord"))
+    """``id, book_ord, work_ord, passage_ord``, 0-based, in the order (book_id, ord, id); works by first appearance."""
+    rows = place_within(passages.select("id", "book_id", "work_id", "ord"), [], [F.asc("book_id"), F.asc("ord"), F.asc("id")], "p")
+    works = place_within(rows.groupBy("book_id", "work_id").agg(F.min("p").alias("first")), [], [F.asc("first")], "w")
+    books = place_within(rows.select("book_id").distinct(), [], [F.asc("book_id")], "b")
+    return rows.join(works, ["book_id", "work_id"]).join(books, "book_id").select("id", (F.col("b") - 1).alias("book_ord"), (F.col("w") - 1).alias("work_ord"), (F.col("p") - 1).alias("passage_ord"))
 
 
 def postings(passages: DataFrame, units: DataFrame | None = None) -> DataFrame:
@@ -49,8 +42,7 @@ def posting_ranks(passages: DataFrame) -> DataFrame:
     """``unit, passage_ord, rank, place``: postings of a unit in the order evidence is looked at."""
     ranked = ranked_passages(passages).select("id", "passage_ord", "rank")
     units = postings(passages).join(ranked, "id")
-    place = F.row_number().over(Window.partitionBy("unit").orderBy("rank", "passage_ord"))
-    return units.select("unit", "passage_ord", "rank", place.alias("place"))
+    return place_within(units.select("unit", "passage_ord", "rank"), ["unit"], [F.asc("rank"), F.asc("passage_ord")])
 
 
 def alias_pairs(passages: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from inkstrata.functions import text as T
 
+from .numbering import place_within
+
 #: Characters no pair is made of, and what a window must not hold.
 FUNCTION_CHARACTERS = "在之兮者也矣于於以而与與为為乃则則曰何所且将將公君我你"
 HARD_NEGATIVE = "死丧喪墓葬尸鬼刑杀殺戮辱贱賤凶灾災祸禍病疫殇殤"
@@ -92,8 +94,8 @@ def interleave(pool: DataFrame) -> DataFrame:
     categories = pool.select(F.col("c1").alias("c")).union(pool.select(F.col("c2").alias("c"))).distinct()
     numbered = categories.select("c", (F.row_number().over(Window.orderBy("c")) - 1).alias("k"))  # a few categories
     size = numbered.groupBy().agg(F.count("*").alias("size"))
-    turn = F.row_number().over(Window.partitionBy("c1", "c2").orderBy("name")) - 1
-    at = pool.withColumn("turn", turn).join(numbered.select(F.col("c").alias("c1"), F.col("k").alias("k1")), "c1").join(numbered.select(F.col("c").alias("c2"), F.col("k").alias("k2")), "c2")
+    placed = place_within(pool.select("name", "c1", "c2"), ["c1", "c2"], [F.asc("name")]).withColumn("turn", F.col("place") - 1)
+    at = placed.join(numbered.select(F.col("c").alias("c1"), F.col("k").alias("k1")), "c1").join(numbered.select(F.col("c").alias("c2"), F.col("k").alias("k2")), "c2")
     return at.join(F.broadcast(size)).select("name", "turn", ((F.col("k2") - F.col("k1") + F.col("size")) % F.col("size")).alias("offset"), "k1")
 
 

@@ -30,20 +30,52 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 36, 1.0).when(x <= -36, 0.0).otherwise(1 / (1 + F.exp(-x)))
 
 
+def _composed(size: int):
+    """Of every run of one user's rows in a sorted partition: the steps composed into one, ``w -> min(high, max(low, w + shift))``."""
+
+    def compose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, first, n = None, None, 0
+        shift, low, high = np.zeros(size), np.full(size, -BOUND), np.full(size, BOUND)
+
+        def row():
+            return (user, *first, n, shift.tolist(), low.tolist(), high.tolist())
+
+        for part in parts:
+            out = []
+            for step in part.itertuples(index=False):
+                if step.user != user:
+                    if user is not None:
+                        out.append(row())
+                    user, first, n = step.user, (step.at, step.seq), 0
+                    shift, low, high = np.zeros(size), np.full(size, -np.inf), np.full(size, np.inf)
+                moved = ONLINE_RATE * step.delta * (np.asarray(step.features) - 0.5)
+                shift = shift + moved
+                low, high = np.clip(low + moved, -BOUND, BOUND), np.clip(high + moved, -BOUND, BOUND)
+                n += 1
+            if out:
+                yield pd.DataFrame(out, columns=["user", "at", "seq", "n", "shift", "low", "high"])
+        if user is not None:
+            yield pd.DataFrame([row()], columns=["user", "at", "seq", "n", "shift", "low", "high"])
+
+    return compose
+
+
 def reaction_weights(events: DataFrame, features: DataFrame, size: int) -> DataFrame:
     """``user, weights, events`` after all reactions of a user in order.
 
-    ``events``: user, item, reaction, at, seq. A step adds the change of the item's signal times its centred features and is
-    bounded and rounded by itself, so the order matters. The previous signal of an (user, item) comes from a window, and the fold
-    runs over one array for each user, sorted in place.
+    ``events``: user (a number), item, reaction, at, seq. A step adds the change of the item's signal times its centred features
+    and is bounded by itself, so the order matters. Bounded steps compose into one bounded step, so range partitions of
+    (user, at, seq) are folded side by side, a user of many events among them, and a user's few partial steps in order after that.
     """
     line = Window.partitionBy("user", "item").orderBy("at", "seq")
     worth = signal(F.col("reaction"))
     deltas = events.withColumn("delta", worth - F.coalesce(F.lag(worth).over(line), F.lit(0.0))).join(features, "item")
-    steps = deltas.groupBy("user").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "delta", "features"))).alias("steps"))
-    zero = F.array_repeat(F.lit(0.0), size)
-    fold = F.aggregate("steps", zero, lambda w, s: F.zip_with(w, s.features, lambda a, f: steady(a + ONLINE_RATE * s.delta * (f - 0.5))))
-    return steps.select("user", fold.alias("weights"), F.size("steps").alias("events"))
+    ordered = deltas.select("user", "at", "seq", "delta", "features").repartitionByRange("user", "at", "seq").sortWithinPartitions("user", "at", "seq")
+    runs = ordered.mapInPandas(_composed(size), "user bigint, at timestamp, seq bigint, n int, shift array<double>, low array<double>, high array<double>")
+    steps = runs.groupBy("user").agg(F.array_sort(F.collect_list(F.struct("at", "seq", "shift", "low", "high"))).alias("steps"), F.sum("n").alias("events"))  # at most one for each partition
+    clamp = lambda w, s: F.transform(w, lambda x, i: F.least(F.get(s.high, i), F.greatest(F.get(s.low, i), x + F.get(s["shift"], i))))
+    fold = F.aggregate("steps", F.array_repeat(F.lit(0.0), size), clamp)
+    return steps.select("user", F.transform(fold, steady).alias("weights"), "events")
 
 
 def explicit_feedback(events: DataFrame) -> DataFrame:
