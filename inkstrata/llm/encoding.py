@@ -59,30 +59,32 @@ def starts(pattern, text: str, begin: int, end: int, stop: int) -> list[int]:
 
 
 def stitches(pattern, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Positions, 0 and the text's length among them, at which the text can be cut without changing its pre-tokens."""
+    """Positions, 0 and the text's length among them, at which the text can be cut without changing its pre-tokens.
+
+    A cut lies at a boundary that both neighbouring chunks see, and never behind white space, whose pre-tokens depend on what
+    follows. Where an overlap has none, its chunks stay together.
+    """
     cuts, begin = [0], chunk
     while begin < len(text):
-        last = cuts[-1]
-        right = starts(pattern, text, begin, min(len(text), begin + overlap), begin + overlap)
         limit = min(len(text), begin + overlap)
-        near = set(right)
-        # The left side is known to be right at its last stitch; walk on from the overlap's start at a sure boundary if there is one.
-        left = next((m.start() for m in pattern.finditer(text, _sure(text, last, begin), limit) if m.start() in near), None)
-        if left is not None and left > last:
-            cuts.append(left)
+        right = set(starts(pattern, text, begin, limit, limit))
+        left = pattern.finditer(text, _sure(text, cuts[-1], begin), limit)
+        met = next((m.start() for m in left if m.start() in right and not text[m.start() - 1].isspace()), None)
+        if met is not None and met > cuts[-1]:
+            cuts.append(met)
         begin += chunk
     return [*cuts, len(text)]
 
 
 def _sure(text: str, last: int, begin: int) -> int:
-    """A position between a stitch and a chunk's start at which a pre-token begins whatever stands before it.
+    """The nearest place before a chunk's start at which a pre-token begins whatever stands before it, or the last stitch.
 
     No pre-token goes on from a character that is no white space to a white space, so each such place is sure.
     """
     at = begin
-    while at > last and not (text[at : at + 1].isspace() and not text[at - 1].isspace()):
+    while at > last and not (text[at] in " \n\t" and not text[at - 1].isspace()):
         at -= 1
-    return max(at, last)
+    return at
 
 
 def encode_text(text: str | None, folder: str = TOKENIZERS, name: str = "byte_bpe_50k", chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:

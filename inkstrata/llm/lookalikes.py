@@ -2,7 +2,7 @@
 
 Tokens (words; single ideographs) are matched against a trie of the corpus's vocabulary by a weighted edit automaton in which
 exchanging look-alikes and dropping or adding invisible characters cost nothing. A token takes the canonical spelling, the most
-frequent one, of the vocabulary entry it reaches without cost; tokens that reach none, and all separators, are normalised by table.
+frequent one, of the vocabulary entry it reaches without cost (entries are free of widths, invisible characters and the like); tokens that reach none, and all separators, are normalised by table.
 Both depend only on how a token looks, so texts that look alike come out equal.
 """
 
@@ -30,10 +30,13 @@ LETTERS = """
 Հ h հ h ո n ս u օ o Օ O Տ S ց g զ q ա w լ l ք p Ս U Լ L ղ n ճ d յ j Ꭺ A Ᏼ B Ꮯ C Ꭰ D Ꭼ E Ꮐ G Ꮋ H Ꭵ i Ꭻ J Ꮶ K Ꮮ L Ꮇ M Ꮲ P Ꮪ S Ꭲ T Ꮩ V Ꮃ W Ꮓ Z
 ⅽ c ⅾ d ⅼ l ⅿ m ℓ l ℴ o ℯ e ℊ g ℎ h Ⅰ I Ⅴ V Ⅹ X Ⅼ L Ⅽ C Ⅾ D Ⅿ M ⅰ i ⅴ v ⅹ x
 """.split()
-#: Ideographs, radicals, kana and strokes that look like another ideograph, each before it.
-IDEOGRAPHS = """
-ニ 二 ハ 八 カ 力 タ 夕 ト 卜 ロ 口 エ 工 ヱ ヱ メ 乂 ノ 丿 ー 一 — 一 ― 一 ─ 一 ㅡ 一 ᅳ 一 ㄧ 一 ㆒ 一 ㇐ 一 へ へ ヘ へ ベ べ ペ ぺ 囗 口 ㆓ 二 ㆔ 三 ㆕ 四 ㇑ 丨 ㇒ 丿 ㇓ 丿 ㇔ 丶 ㇏ 乀 ㇠ 乙 ㇟ 乚
-丨 丨 ㄚ 丫 ㄒ 丅 ㄎ 丂 ㄈ 匚 ㄇ 冂 ㄙ 厶 ㄐ 丩 ㄑ 〈 ㄍ 巜 ㄥ 乚 ㄖ 日 〇 〇 ㇆ 𠃌 ㇕ 𠃍 ㇗ 𠄌 ㇖ 乛
+#: Kana, strokes and dashes that look like an ideograph or like another kana, each before it.
+STROKES = """
+ニ 二 ハ 八 カ 力 タ 夕 ト 卜 ロ 口 エ 工 メ 乂 ノ 丿 ー 一 — 一 ― 一 ─ 一 ㅡ 一 ᅳ 一 ㄧ 一 ㆒ 一 ㇐ 一 へ へ ヘ へ ベ べ ペ ぺ 囗 口 ㆓ 二 ㆔ 三 ㆕ 四 ㇑ 丨 ㇒ 丿 ㇓ 丿 ㇔ 丶 ㇏ 乀 ㇠ 乙 ㇟ 乚
+ㄚ 丫 ㄒ 丅 ㄎ 丂 ㄈ 匚 ㄇ 冂 ㄙ 厶 ㄐ 丩 ㄑ 〈 ㄍ 巜 ㄥ 乚 ㄖ 日 ㇆ 𠃌 ㇕ 𠃍 ㇗ 𠄌 ㇖ 乛
+""".split()
+#: Radicals that look like an ideograph, each before it.
+RADICALS = """
 ⺀ 冫 ⺁ 厂 ⺂ 乛 ⺃ 乚 ⺄ 乙 ⺅ 亻 ⺆ 冂 ⺇ 几 ⺈ 𠂊 ⺉ 刂 ⺊ 卜 ⺋ 㔾 ⺌ 小 ⺍ 小 ⺎ 兀 ⺏ 尣 ⺐ 尢 ⺑ 𡯂 ⺒ 巳 ⺓ 幺 ⺔ 彑 ⺕ 彐 ⺖ 忄 ⺗ 㣺 ⺘ 扌 ⺙ 攵 ⺛ 旡 ⺜ 日 ⺝ 月 ⺞ 歺 ⺟ 母 ⺠ 民
 ⺡ 氵 ⺢ 氺 ⺣ 灬 ⺤ 爫 ⺥ 爫 ⺦ 丬 ⺧ 牛 ⺨ 犭 ⺩ 王 ⺪ 疋 ⺫ 目 ⺬ 示 ⺭ 礻 ⺮ 竹 ⺯ 糹 ⺰ 纟 ⺱ 罒 ⺲ 罒 ⺳ 㓁 ⺴ 㓁 ⺵ 网 ⺶ 羊 ⺷ 羊 ⺸ 羊 ⺹ 耂 ⺺ 肀 ⺻ 聿 ⺼ 月 ⺽ 臼 ⺾ 艹 ⺿ 艹 ⻀ 艹 ⻁ 虎 ⻂ 衤
 ⻃ 覀 ⻄ 西 ⻅ 见 ⻆ 角 ⻇ 角 ⻈ 讠 ⻉ 贝 ⻊ 足 ⻋ 车 ⻌ 辶 ⻍ 辶 ⻎ 辶 ⻏ 阝 ⻐ 钅 ⻑ 長 ⻒ 镸 ⻓ 长 ⻔ 门 ⻕ 阜 ⻖ 阝 ⻗ 雨 ⻘ 青 ⻙ 韦 ⻚ 页 ⻛ 风 ⻜ 飞 ⻝ 食 ⻞ 飠 ⻟ 飠 ⻠ 饣 ⻡ 首 ⻢ 马 ⻣ 骨 ⻤ 鬼
@@ -63,7 +66,7 @@ def ignorable(point: int) -> bool:
 def table() -> dict[int, str]:
     """Code point -> what it looks like, decomposed; only code points that look like something else are in it."""
     pairs: dict[str, str] = {}
-    for names in (LETTERS, IDEOGRAPHS, SEPARATORS):
+    for names in (LETTERS, STROKES, RADICALS, SEPARATORS):
         pairs |= {a: b for a, b in zip(names[::2], names[1::2]) if a != b}
 
     def look(text: str, depth: int = 0) -> str:
@@ -98,6 +101,26 @@ def table() -> dict[int, str]:
     return found
 
 
+@lru_cache(maxsize=1)
+def _spelling_table() -> dict[int, str]:
+    """What a spelling in the vocabulary is freed from: width, composition, radicals, invisible characters; letters of other scripts stay."""
+    kept = {ord(c) for c in LETTERS[::2] + STROKES[::2]}
+    return {point: look for point, look in table().items() if point not in kept}
+
+
+def spelling(token: str) -> str:
+    """A token as it may stand in the vocabulary."""
+    composed = unicodedata.normalize("NFC", token)
+    return unicodedata.normalize("NFC", "".join(c if ord(c) in _precomposed() else c.translate(_spelling_table()) for c in composed))
+
+
+@lru_cache(maxsize=1)
+def _precomposed() -> frozenset[int]:
+    """Letters of other scripts with accents, whose look is Latin but whose spelling stays."""
+    kept = {ord(c) for c in LETTERS[::2] + STROKES[::2]}
+    return frozenset(p for p in table() if p not in kept and len(d := unicodedata.normalize("NFD", chr(p))) > 1 and any(ord(c) in kept for c in d))
+
+
 def skeleton(text: str) -> str:
     """How a text looks, by table alone, as decomposed characters."""
     return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(table()))
@@ -152,14 +175,14 @@ class Trie:
     def __init__(self) -> None:
         self.root: dict = {}
 
-    def add(self, spelling: str, weight: int) -> None:
+    def add(self, word: str, weight: int) -> None:
         """Of spellings that look alike the one with the greatest weight (of equal ones the smallest) stays."""
         node = self.root
-        for char in skeleton(spelling):
+        for char in skeleton(word):
             node = node.setdefault(char, {})
         best = node.get("")
-        if best is None or (-weight, spelling) < (-best[1], best[0]):
-            node[""] = (spelling, weight)
+        if best is None or (-weight, word) < (-best[1], best[0]):
+            node[""] = (word, weight)
 
     def match(self, token: str, most: int = 0) -> tuple[str, int] | None:
         """The canonical spelling at the least cost up to ``most``, and that cost; of equal ones the most frequent."""
@@ -175,9 +198,9 @@ class Trie:
         while stack:
             node, row = stack.pop()
             if "" in node and row[-1] <= most:
-                spelling, weight = node[""]
-                if best is None or (row[-1], -weight, spelling) < best:
-                    best = (row[-1], -weight, spelling)
+                word, weight = node[""]
+                if best is None or (row[-1], -weight, word) < best:
+                    best = (row[-1], -weight, word)
             for char, child in node.items():
                 if char == "":
                     continue
@@ -194,17 +217,20 @@ class Canon:
 
     def __init__(self, vocabulary: list[tuple[str, int]]) -> None:
         self.trie, self.words, self.single = Trie(), {}, None
-        for spelling, weight in vocabulary:
-            self.trie.add(spelling, weight)
+        weights: Counter[str] = Counter()
+        for token, weight in vocabulary:
+            weights[spelling(token)] += weight
+        for token, weight in weights.items():
+            self.trie.add(token, weight)
         groups = _classes()[1]
         self.rest = {point: look for point, look in table().items() if not look or not self._in_word(look[0])}
         for look, members in groups.items():
-            spelling = self._token(chr(look))
+            form = self._token(chr(look))
             for point in members:
-                if spelling == chr(point):
+                if form == chr(point):
                     self.rest.pop(point, None)
                 else:
-                    self.rest[point] = spelling
+                    self.rest[point] = form
 
     @staticmethod
     def _in_word(char: str) -> bool:
