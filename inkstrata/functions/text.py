@@ -108,10 +108,42 @@ def indexed_length(column: Column) -> Column:
 
 
 def source_family(column: Column) -> Column:
-    """The title within 《…》 up to a middle dot, else the text up to it."""
-    inner = F.regexp_extract(column, "《([^》]*)》", 1)
-    return F.regexp_extract(F.when(inner != "", inner).otherwise(column), "^[^·]*", 0)
+    """A source with the title within 《…》 cut at its first middle dot; sources without such a title stay."""
+    root = F.substring_index(F.regexp_extract(column, "《([^》]*)》", 1), "·", 1)
+    return F.when(column.rlike("《[^》]*》"), F.concat(F.substring_index(column, "《", 1), F.lit("《"), root, F.lit("》"))).otherwise(column)
 
 
 def pinyin_key(column: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(column)), r"[\s-]+", "")
+
+
+def chunks(column: Column, raw: str, normal: str, most: int = 180) -> Column:
+    """Sentences joined greedily into chunks of at most ``most`` searchable characters; chunks without any are left out.
+
+    A longer sentence is cut after every ``most`` searchable characters, each cut beginning with the last character before it. The
+    text must be composed (see ``nfc``).
+    """
+    searchable = lambda c: F.char_length(han_only(simplified(c, raw, normal)))
+    flags = lambda s: han_only(simplified(s, raw, normal))
+    step = most - 1
+
+    def cut(sentence: Column) -> Column:
+        chars = F.split(sentence, "")
+        size = F.char_length(sentence)
+        at = F.filter(F.transform(chars, lambda c, i: F.when(F.char_length(flags(c)) > 0, i)), lambda i: i.isNotNull())
+        count = F.size(at)
+        # Cut k begins at searchable character k * step, if there is anything behind it.
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((count - 1) / step).cast("int"))), lambda k: (k == 0) | (F.get(at, k * step) + 1 < size))
+        piece = lambda k: F.trim(F.array_join(F.slice(chars, F.when(k == 0, 0).otherwise(F.get(at, k * step)) + 1, F.coalesce(F.get(at, k * step + step) + 1, size) - F.when(k == 0, 0).otherwise(F.get(at, k * step))), ""))
+        return F.when(count <= most, F.array(sentence)).otherwise(F.filter(F.transform(starts, piece), lambda p: p != ""))
+
+    units = F.flatten(F.transform(split_sentences(column), cut))
+    start = F.struct(F.lit("").alias("current"), F.array().cast("array<string>").alias("done"))
+
+    def join(state: Column, unit: Column) -> Column:
+        both = F.concat(state.current, unit)
+        full = (state.current != "") & (searchable(both) > most)
+        return F.struct(F.when(full, unit).otherwise(both).alias("current"), F.when(full, F.array_append(state.done, state.current)).otherwise(state.done).alias("done"))
+
+    joined = F.aggregate(units, start, join, lambda s: F.when(s.current != "", F.array_append(s.done, s.current)).otherwise(s.done))
+    return F.filter(joined, lambda c: searchable(c) > 0)

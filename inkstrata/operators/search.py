@@ -95,3 +95,45 @@ def grade_counts(matches: DataFrame) -> DataFrame:
     """Matches of each grade and of the groups of grades, per query."""
     n = lambda grades: F.count_if(F.col("grade").isin(*grades))
     return matches.groupBy("query").agg(*[n([g]).alias(f"n_{g.lower()}") for g in LIMITS], n(list("ABC")).alias("n_abc"), n(list("DE")).alias("n_de"))
+
+
+def fragment_search(queries: DataFrame, fragments: DataFrame, most: int = 12) -> DataFrame:
+    """Evidence in a hand-kept set of quotations: ``query, grade, id_a, id_b``.
+
+    ``queries`` has query, u1, u2; ``fragments`` has id, seq (the order), source, quote. A together, B in one quote, C in one source
+    that has no quote with both, D in two sources of one family, E in two families, F one unit only. D and E take of each source
+    the first quote that has only the one unit, and show the first ``most`` pairs by the order of both sides.
+    """
+    units = fragments.select("id", "seq", "source", "quote", T.source_family(F.col("source")).alias("family"), F.explode(F.array_distinct(T.characters(F.col("quote")))).alias("unit"))
+    hit = lambda n: queries.join(units, F.col(f"u{n}") == F.col("unit")).drop("unit").withColumn(f"has{n}", F.lit(True))
+    keys = ["query", "u1", "u2", "id", "seq", "source", "quote", "family"]
+    both = hit(1).unionByName(hit(2), allowMissingColumns=True).groupBy(*keys).agg(F.coalesce(F.max("has1"), F.lit(False)).alias("h1"), F.coalesce(F.max("has2"), F.lit(False)).alias("h2"))
+    both = checkpointed(both)
+    two = F.col("h1") & F.col("h2") & F.col("u2").isNotNull()
+    joined = F.instr("quote", F.concat("u1", "u2")) > 0
+    twice = F.col("u1").eqNullSafe(F.col("u2"))
+    grade = F.when(two & joined, "A").when(two & ~twice, "B").otherwise("F")
+    own = both.select("query", grade.alias("grade"), F.col("id").alias("id_a"), F.lit(None).cast("string").alias("id_b"))
+
+    pairs = both.where("u2 is not null")
+    at = lambda h: F.min(F.when(F.col(h), F.struct("seq", "id")))
+    sources = pairs.groupBy("query", "source").agg(F.max(F.col("h1") & F.col("h2")).alias("whole"), at("h1").alias("a"), at("h2").alias("b")).where("not whole and a is not null and b is not null and a.id <> b.id")
+    c = sources.select("query", F.lit("C").alias("grade"), F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+
+    def lone(has: str, lacks: str, x: str) -> DataFrame:
+        first = pairs.where(f"{has} and not {lacks}").groupBy("query", "family", "source").agg(F.min(F.struct("seq", "id")).alias("k")).select("query", "family", "source", "k.seq", "k.id")
+        return first.select("query", *[F.col(c).alias(f"{c}_{x}") for c in ("family", "source", "seq", "id")])
+
+    a, b = lone("h1", "h2", "a"), lone("h2", "h1", "b")
+
+    def few(side: DataFrame, x: str) -> DataFrame:
+        """All that the first pairs of two families can need: the first of each family, of the first families."""
+        first = _first(side, ["query", f"family_{x}"], [F.col(f"seq_{x}")], most)
+        heads = _first(first.where("i = 1").select("query", f"family_{x}", f"seq_{x}"), ["query"], [F.col(f"seq_{x}")], most + 1, "j")
+        return first.join(heads.select("query", f"family_{x}"), ["query", f"family_{x}"], "left_semi")
+
+    order = [F.col("seq_a"), F.col("seq_b")]
+    near = a.withColumnRenamed("family_a", "family").join(b.withColumnRenamed("family_b", "family"), ["query", "family"]).where("source_a <> source_b")
+    far = few(a, "a").drop("i").join(few(b, "b").drop("i"), "query").where("family_a <> family_b")
+    shown = lambda df, g: _first(df, ["query"], order, most).select("query", F.lit(g).alias("grade"), "id_a", "id_b")
+    return own.unionByName(c).unionByName(shown(near, "D")).unionByName(shown(far, "E"))

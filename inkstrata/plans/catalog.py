@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkstrata.functions import jsontext
 from inkstrata.functions import text as T
 from inkstrata.operators import index, mining, pool, preference, quality, search, selection
 from inkstrata.session import table
+from inkstrata.sources import importers, sinks
 from inkstrata.streaming import reactions as stream
 
 from . import oracle
@@ -439,3 +441,48 @@ def mmr_batch(spark, sf_dir):
     t = Tables(spark, sf_dir)
     pools = t.fits.join(t.items, "item").join(preference.exposures(t.shown).select("user", "item", "penalty"), ["user", "item"], "left")
     return selection.mmr_batches(pools.withColumn("user", F.col("user").cast("string")))
+
+
+@query
+def curated_search(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    source = F.concat(F.lit("《"), F.coalesce("book_title", F.lit("")), F.lit("·"), F.coalesce("work_title", F.lit("")), F.lit("》"))
+    quotes = t.name_candidates.where("quote is not null").select("id", F.col("id").alias("seq"), source.alias("source"), T.simplified(F.col("quote"), *t.aliases).alias("quote"))
+    return search.fragment_search(t.name_queries, quotes)
+
+
+@query
+def chunk_text(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return t.passages.select("id", F.posexplode(T.chunks(T.nfc(F.col("text")), *t.aliases)).alias("n", "chunk"))
+
+
+@query
+def outline_sections(spark, sf_dir):
+    """The passages of every book written as an outline text and read again."""
+    t = Tables(spark, sf_dir)
+    line = F.concat(F.lit("*** "), F.col("work_title"), F.lit("\n"), F.regexp_replace("text", r"\s+", ""))
+    books = t.passages.where("work_title is not null and work_title <> ''").groupBy("book_id", "work_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", line.alias("line")))), lambda x: x.line).alias("lines"))
+    files = books.select(F.col("work_id").alias("book_id"), F.concat(F.lit("#+TITLE: x\n** 卷\n"), F.array_join("lines", "\n")).alias("content"))
+    return importers.outline_works(files, t.aliases).select("book_id", "n", "title", "chapter_title", F.get("segments", 0).alias("text"))
+
+
+@query
+def pack_shards(spark, sf_dir):
+    rows = Tables(spark, sf_dir).passages.select("book_id", "id", "ord", "text", "normalized_text")
+    return sinks.packed(rows, "book_id", ["ord", "id"], 64 * 1024).groupBy("book_id", "part").agg(F.count("*").alias("passages"), F.sum("bytes").alias("bytes"))
+
+
+@query
+def uneven_sources(spark, sf_dir):
+    return sinks.uneven_sources(Tables(spark, sf_dir).passages)
+
+
+@query
+def stable_keys(spark, sf_dir):
+    return Tables(spark, sf_dir).events.select("event_id", jsontext.content_key(F.col("props")).alias("key"))
+
+
+@query
+def redacted(spark, sf_dir):
+    return Tables(spark, sf_dir).documents.where("text is not null").select("doc_id", F.md5(jsontext.redacted(F.col("text"))).alias("digest"), jsontext.holds_secret(F.col("text")).alias("secret"))

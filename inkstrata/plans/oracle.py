@@ -142,6 +142,18 @@ so as (select *, case when mode = 'explore' then (1 - abs(fit - 0.5) * 2) * 0.5
 select "user", mode, level, item, floor(sco * 1e6 + 0.5) / 1e6 as score from so qualify row_number() over (partition by "user" order by level, sco desc, item) = 1"""
 
 
+CURATED = P + "," + QUERY + """,
+fg as (select id, '《' || coalesce(book_title, '') || '·' || coalesce(work_title, '') || '》' as source, '《' || split_part(coalesce(book_title, '') || '·' || coalesce(work_title, ''), '·', 1) || '》' as family,
+  translate(quote, (select raw from al), (select normal from al)) as quote from name_candidates where quote is not null),
+h as (select query, u1, u2, fg.*, contains(quote, u1) as h1, coalesce(contains(quote, u2), false) as h2 from qs, fg where contains(quote, u1) or contains(quote, u2)),
+own as (select query, case when u2 is not null and contains(quote, u1 || u2) then 'A' when u2 is not null and h1 and h2 and u1 <> u2 then 'B' else 'F' end as grade, id as id_a, cast(null as varchar) as id_b from h),
+cs as (select query, 'C' as grade, min(id) filter (h1) as id_a, min(id) filter (h2) as id_b from h where u2 is not null group by query, source having not bool_or(h1 and h2)),
+lf as (select * from h where u2 is not null and h1 and not h2 qualify row_number() over (partition by query, source order by id) = 1),
+ls as (select * from h where u2 is not null and h2 and not h1 qualify row_number() over (partition by query, source order by id) = 1),
+ds as (select a.query, 'D' as grade, a.id as id_a, b.id as id_b from lf a join ls b on a.query = b.query and a.family = b.family and a.source <> b.source qualify row_number() over (partition by a.query order by a.id, b.id) <= 12),
+es as (select a.query, 'E' as grade, a.id as id_a, b.id as id_b from lf a join ls b on a.query = b.query and a.family <> b.family qualify row_number() over (partition by a.query order by a.id, b.id) <= 12)"""
+
+
 def _with(ctes: str, select: str) -> str:
     return f"with {ctes}\n{select}"
 
@@ -299,4 +311,8 @@ from (select query, grade, place, 0 as n, id_a as id from found union all select
         "item_similarity": _with(ITEMS, f"""select ra."user", a.item as a_item, b.item as b_item, floor(({_similarity('a', 'b')}) * 1e9 + 0.5) / 1e9 as similarity
   from rc ra join rc rb on ra."user" = rb."user" and ra.item < rb.item join it a on a.item = ra.item join it b on b.item = rb.item"""),
         "adaptive_next": "with " + NEXT,
+        "curated_search": _with(CURATED, "select * from own union all select * from cs where id_a is not null and id_b is not null and id_a <> id_b union all select * from ds union all select * from es"),
+        "uneven_sources": _with(P, "select book_id from p group by book_id having count(distinct {'a': source_url, 'b': verification_url}) > 1"),
+        "outline_sections": _with(P, f"""select work_id as book_id, row_number() over (partition by work_id order by ord, id) - 1 as n, trim(regexp_replace(work_title, '^[0-9]+\\s+', '')) as title, '卷' as chapter_title, t as text
+  from (select *, regexp_replace(text, '\\s+', '', 'g') as t from p where work_title <> '') where regexp_matches(nfc_normalize(translate(t, (select raw from al), (select normal from al))), '[{HAN}]')"""),
     }
