@@ -23,13 +23,16 @@ def ordinals(passages: DataFrame) -> DataFrame:
     return rows.join(works, ["book_id", "work_id"]).join(books, "book_id").select("id", (F.col("b") - 1).alias("book_ord"), (F.col("w") - 1).alias("work_ord"), (F.col("p") - 1).alias("passage_ord"))
 
 
-def postings(passages: DataFrame, units: DataFrame | None = None) -> DataFrame:
-    """``unit, id, positions`` over normalized_text; only the units of ``units`` if given. Positions never leave a passage's row."""
+def postings(passages: DataFrame, units: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``unit, id, positions`` over normalized_text; only the units of ``units`` if given.
+
+    ``carry`` names columns of a passage that go with its postings, so that nothing is joined to the many exploded rows.
+    """
     chars = T.characters(F.col("normalized_text"))
-    exploded = passages.where("normalized_text <> ''").select("id", F.posexplode(chars).alias("position", "unit"))
+    exploded = passages.where("normalized_text <> ''").select("id", *carry, F.posexplode(chars).alias("position", "unit"))
     if units is not None:
         exploded = exploded.join(units.select("unit").distinct(), "unit", "left_semi")
-    return exploded.groupBy("id", "unit").agg(F.array_sort(F.collect_list("position")).alias("positions")).select("unit", "id", "positions")
+    return exploded.groupBy("id", "unit", *carry).agg(F.array_sort(F.collect_list("position")).alias("positions")).select("unit", "id", "positions", *carry)
 
 
 def ranked_passages(passages: DataFrame) -> DataFrame:
@@ -40,8 +43,7 @@ def ranked_passages(passages: DataFrame) -> DataFrame:
 
 def posting_ranks(passages: DataFrame) -> DataFrame:
     """``unit, passage_ord, rank, place``: postings of a unit in the order evidence is looked at."""
-    ranked = ranked_passages(passages).select("id", "passage_ord", "rank")
-    units = postings(passages).join(ranked, "id")
+    units = postings(ranked_passages(passages), carry=("passage_ord", "rank"))
     return place_within(units.select("unit", "passage_ord", "rank"), ["unit"], [F.asc("rank"), F.asc("passage_ord")])
 
 

@@ -33,8 +33,7 @@ def search(queries: DataFrame, passages: DataFrame, books: DataFrame, aliases: t
     """
     q = queries.distinct()
     units = q.select(F.explode(F.array("u1", "u2")).alias("unit")).where("unit is not null")
-    ranked = index.ranked_passages(passages).select("id", "book_ord", "work_ord", "passage_ord", "rank")
-    post = checkpointed(index.postings(passages, units).join(ranked, "id")).withColumn("at", F.struct("rank", "passage_ord"))
+    post = checkpointed(index.postings(index.ranked_passages(passages), units, ("book_ord", "work_ord", "passage_ord", "rank"))).withColumn("at", F.struct("rank", "passage_ord"))
     side = lambda n: q.join(post.withColumnRenamed("unit", f"u{n}"), f"u{n}")
     left, right = side(1), side(2)
     two = q.where("u2 is not null")

@@ -89,7 +89,7 @@ def _batch(size: int):
         letters = [set(x) for x in pool.name]
         sound, book, relation, category, style = (pool[c].to_numpy() for c in ("sound", "book", "relation", "category", "style"))
         fit, penalty = pool.fit.to_numpy(), pool.penalty.fillna(0.0).to_numpy()
-        closest, left, picked = np.zeros(n), np.ones(n, bool), []
+        closest, left, picked, scores = np.zeros(n), np.ones(n, bool), [], []
         same_sound, categories, counts = np.zeros(n, bool), {}, {}
         for mode in plan:
             crowd = np.array([max((counts.get(c, 0) for c in s), default=0) for s in letters])
@@ -109,7 +109,7 @@ def _batch(size: int):
             best = int(np.flatnonzero(allowed)[np.argmax(score[allowed])])
             picked.append(best)
             left[best] = False
-            pool.loc[best, ["place", "mode", "score"]] = [len(picked), mode, float(score[best])]
+            scores.append(float(score[best]))
             for c in letters[best]:
                 counts[c] = counts.get(c, 0) + 1
             categories[category[best]] = categories.get(category[best], 0) + 1
@@ -118,7 +118,7 @@ def _batch(size: int):
             alike += ((sound == sound[best]) & (sound != "")) * SIMILARITY["sound"] + (book == book[best]) * SIMILARITY["book"] + (relation == relation[best]) * SIMILARITY["relation"]
             closest = np.maximum(closest, alike) if len(picked) > 1 else alike
         out = pool.iloc[picked]
-        return pd.DataFrame({"user": out.user, "place": np.arange(1, len(out) + 1, dtype=np.int32), "item": out["item"], "mode": [plan[i] for i in range(len(out))], "score": out.score.astype(float)})
+        return pd.DataFrame({"user": out.user, "place": np.arange(1, len(out) + 1, dtype=np.int32), "item": out["item"], "mode": plan[: len(out)], "score": np.array(scores, float)})
 
     return choose
 
@@ -129,8 +129,7 @@ def mmr_batches(pools: DataFrame, size: int = 12) -> DataFrame:
     ``pools``: user, item, name, features, sound, book, relation, category, style, fit, penalty; a user's pool is the item
     dimension, already narrowed by the caller to what one task may hold.
     """
-    rows = pools.withColumn("place", F.lit(0)).withColumn("mode", F.lit("")).withColumn("score", F.lit(0.0))
-    return rows.groupBy("user").applyInPandas(_batch(size), "user string, place int, item string, mode string, score double")
+    return pools.groupBy("user").applyInPandas(_batch(size), "user string, place int, item string, mode string, score double")
 
 
 def _diverse(pool: pd.DataFrame) -> pd.DataFrame:

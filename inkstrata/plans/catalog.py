@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from inkstrata.functions import jsontext
 from inkstrata.functions import text as T
 from inkstrata.operators import index, mining, pool, preference, quality, search, selection
-from inkstrata.session import table
+from inkstrata.session import checkpointed, table
 from inkstrata.sources import importers, sinks
 from inkstrata.streaming import reactions as stream
 
@@ -46,7 +47,12 @@ class Tables:
     def passages(self) -> DataFrame:
         return index.distinct_passages(table(self.spark, self.at, "corpus_passages"))
 
-    @property
+    @cached_property
+    def settled(self) -> DataFrame:
+        """The passages written once, for queries that read them again and again."""
+        return checkpointed(self.passages)
+
+    @cached_property
     def aliases(self) -> tuple[str, str]:
         return T.alias_strings(table(self.spark, self.at, "char_aliases"))
 
@@ -97,7 +103,7 @@ class Tables:
 
 
 def _search(t: Tables) -> DataFrame:
-    return search.search(t.name_queries, t.passages, t.corpus_books, t.aliases)
+    return search.search(t.name_queries, t.settled, t.corpus_books, t.aliases)
 
 
 @query
@@ -108,7 +114,7 @@ def evidence_search(spark, sf_dir):
 @query
 def evidence_citations(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return search.citations(_search(t), t.passages, t.corpus_books)
+    return search.citations(_search(t), t.settled, t.corpus_books)
 
 
 @query
@@ -120,12 +126,12 @@ def evidence_grades(spark, sf_dir):
 def evidence_single_unit(spark, sf_dir):
     t = Tables(spark, sf_dir)
     q = t.name_queries.select(F.col("u1").alias("query"), "u1", F.lit(None).cast("string").alias("u2"))
-    return search.search(q, t.passages, t.corpus_books, t.aliases)
+    return search.search(q, t.settled, t.corpus_books, t.aliases)
 
 
 @query
 def ordinals(spark, sf_dir):
-    return index.ordinals(Tables(spark, sf_dir).passages)
+    return index.ordinals(Tables(spark, sf_dir).settled)
 
 
 @query
@@ -135,7 +141,7 @@ def posting_build(spark, sf_dir):
 
 @query
 def posting_rank(spark, sf_dir):
-    return index.posting_ranks(Tables(spark, sf_dir).passages)
+    return index.posting_ranks(Tables(spark, sf_dir).settled)
 
 
 @query

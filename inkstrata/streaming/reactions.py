@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkstrata.operators.preference import BOUND, ONLINE_RATE, SIGNALS
+from inkstrata.session import shared_folder
 
 _OUT = "user bigint, weights array<double>, events int"
 _STATE = "weights array<double>, last string, events int"
@@ -52,8 +52,7 @@ def weights(events: DataFrame, features: DataFrame, size: int) -> DataFrame:
 
 def replay(spark: SparkSession, events: DataFrame, features: DataFrame, size: int) -> DataFrame:
     """Streams a table of events through ``weights`` and returns the last state of every user."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="inkstrata-stream-")
-    at = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events.write.parquet(f"{at}/events")
     source = spark.readStream.schema(events.schema).parquet(f"{at}/events")
 
