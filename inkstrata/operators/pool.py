@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from inkstrata.functions import text as T
 
+from .numbering import place_within
+
 
 def merge_by_name(sources: list[DataFrame], key: str = "name") -> DataFrame:
     """One row for each name, from the last source that has it (within a source by smallest id), with all citations.
@@ -89,3 +91,22 @@ def pointers(wanted: DataFrame, passages: DataFrame) -> DataFrame:
     out = rows.withColumn("chars", chars).withColumn("unit", F.get("chars", "place"))
     before = F.size(F.filter(F.slice("chars", F.lit(1), F.col("place")), lambda c: c == F.col("unit")))
     return out.select(*wanted.columns, "unit", F.when(F.col("unit").isNotNull(), before).alias("occurrence"))
+
+
+def first_of(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The first row of each key, as ``order``, and how many there were; reduced before the shuffle."""
+    grouped = df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("k"), F.count("*").alias("dropped_and_kept"))
+    return grouped.select(*keys, *[f"k.{c}" for c in order], "dropped_and_kept")
+
+
+def best_kept(df: DataFrame, key: str, order: list[Column], id_col: str = "id") -> DataFrame:
+    """All rows, the best of each key marked ``kept``, the others with the id they lost to as ``reason``."""
+    placed = place_within(df, [key], order)
+    best = placed.where("place = 1").select(key, F.col(id_col).alias("_best"))
+    return placed.join(best, key).withColumn("kept", F.col("place") == 1).withColumn("reason", F.when(F.col("place") > 1, F.concat(F.lit("weaker than "), "_best"))).drop("_best", "place")
+
+
+def by_either_name(named: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``named`` (with ``name``) joined to candidates by given or by full name: two equi-joins, not one with an or."""
+    keys = candidates.select("id", F.explode(F.array_distinct(F.array("given_name", "full_name"))).alias("name"))
+    return named.join(keys, "name")

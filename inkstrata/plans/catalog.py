@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstrata.functions import jsontext
 from inkstrata.functions import text as T
-from inkstrata.operators import index, mining, pool, preference, quality, search, selection
+from inkstrata.operators import index, mining, pool, preference, profiles, quality, search, selection
+from inkstrata.operators.numbering import place_within
 from inkstrata.session import checkpointed, table
 from inkstrata.sources import importers, sinks
 from inkstrata.streaming import reactions as stream
@@ -102,6 +103,11 @@ class Tables:
         return preference.fits(self.users, self.item_features, preference.explicit_feedback(self.reactions), self.shown.distinct())
 
 
+def _joined(column: str) -> Column:
+    """A list as one text, for comparisons."""
+    return F.array_join(F.col(column).cast("array<string>"), ",").alias(column)
+
+
 def _search(t: Tables) -> DataFrame:
     return search.search(t.name_queries, t.settled, t.corpus_books, t.aliases)
 
@@ -136,7 +142,7 @@ def ordinals(spark, sf_dir):
 
 @query
 def posting_build(spark, sf_dir):
-    return index.postings(Tables(spark, sf_dir).passages)
+    return index.postings(Tables(spark, sf_dir).passages).withColumn("positions", _joined("positions"))
 
 
 @query
@@ -275,7 +281,7 @@ def clause_offsets(spark, sf_dir):
 @query
 def windows(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return mining.windows(t.factory, t.lexicon, t.aliases).select("id", "start", "end", "text", T.round_half_up(F.col("score"), 6).alias("score"), "opportunities", "naming")
+    return mining.windows(t.factory, t.lexicon, t.aliases).select("id", "start", "end", "text", T.round_half_up(F.col("score"), 6).alias("score"), "opportunities", _joined("naming"))
 
 
 def _nameability(t: Tables) -> DataFrame:
@@ -285,7 +291,7 @@ def _nameability(t: Tables) -> DataFrame:
 @query
 def nameability(spark, sf_dir):
     scored = _nameability(Tables(spark, sf_dir))
-    return scored.select("id", T.round_half_up(F.col("score"), 6).alias("score"), "naming")
+    return scored.select("id", T.round_half_up(F.col("score"), 6).alias("score"), _joined("naming"))
 
 
 @query
@@ -325,7 +331,7 @@ def pool_merge(spark, sf_dir):
     t = Tables(spark, sf_dir)
     mined = discovery_pool(spark, sf_dir).select("name", F.concat(F.lit("mined:"), "name").alias("id"), F.col("id").alias("passage_id"), "grade", "feminine")
     curated = t.name_candidates.select(F.col("given_name").alias("name"), "id", "passage_id", "grade", "feminine")
-    return pool.merge_by_name([mined, curated])
+    return pool.merge_by_name([mined, curated]).withColumn("citations", _joined("citations"))
 
 
 @query
@@ -492,3 +498,73 @@ def stable_keys(spark, sf_dir):
 @query
 def redacted(spark, sf_dir):
     return Tables(spark, sf_dir).documents.where("text is not null").select("doc_id", F.md5(jsontext.redacted(F.col("text"))).alias("digest"), jsontext.holds_secret(F.col("text")).alias("secret"))
+
+
+@query
+def pair_dedup(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    found = mining.pairs(t.passages, t.corpus_books, t.lexicon, t.aliases)
+    return pool.first_of(found, ["name", "grade", "book_id"], ["id", "distance"])
+
+
+@query
+def best_per_name(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    found = mining.pairs(t.passages, t.corpus_books, t.lexicon, t.aliases)
+    worth = F.col("score") + F.when(F.col("grade") == "A", 0.15).otherwise(0.05)
+    return pool.best_kept(found.withColumn("worth", worth), "name", [F.desc("worth"), F.asc("id"), F.asc("distance"), F.asc("grade")]).select("name", "id", "distance", "grade", "kept", "reason")
+
+
+@query
+def profile_lookup(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    named = t.pairwise_feedback.where("profile_id is not null").select(F.col("profile_id").alias("profile"), F.explode(F.array("left_name", "right_name")).alias("name")).distinct()
+    return pool.by_either_name(named, t.name_candidates).select("profile", "id").distinct()
+
+
+@query
+def exclusion(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    disliked = t.pairwise_feedback.where("lower(trim(choice)) = 'both-dislike'").select(F.explode(F.array("left_name", "right_name")).alias("name")).distinct()
+    return pool.without(t.name_candidates, disliked).select("id")
+
+
+@query
+def dimension_lists(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    count = lambda df, name: df.groupBy(F.col(df.columns[0]).alias("member")).agg(F.count("*").alias("n")).select(F.lit(name).alias("list"), "member", "n")
+    units = t.name_candidates.select(F.explode(F.array("first_category", "second_category")).alias("c"))
+    return count(t.corpus_books.select("category"), "category").unionByName(count(t.corpus_books.select("period"), "period")).unionByName(count(units, "unit category"))
+
+
+@query
+def raw_ids(spark, sf_dir):
+    placed = place_within(mining.raw_pairs(Tables(spark, sf_dir).lexicon).select("name", "u1", "u2"), [], [F.asc("u1"), F.asc("u2")])
+    return placed.select("name", F.format_string("RAW-%05d", "place").alias("raw_id"))
+
+
+@query
+def unit_interleave(spark, sf_dir):
+    """The lexicon round-robin over its categories, cut to the size of the generating subset."""
+    placed = place_within(Tables(spark, sf_dir).lexicon.select("unit", "category"), ["category"], [F.asc("unit")])
+    return placed.select("unit", "category", (F.col("place") - 1).alias("turn")).orderBy("turn", "category").limit(560)
+
+
+@query
+def preliminary_topk(spark, sf_dir):
+    """The best of a preliminary ranking: twice the target, and at least 20 more than it."""
+    target = 30
+    score = F.coalesce("feminine", F.lit(0.0)) + F.coalesce("rarity", F.lit(0.0)) + F.coalesce("usability", F.lit(0.0))
+    placed = place_within(Tables(spark, sf_dir).name_candidates.select("id", score.alias("score")), [], [F.desc("score"), F.asc("id")])
+    return placed.select("id", "place", (F.col("place") <= max(2 * target, target + 20)).alias("kept"))
+
+
+@query
+def profile_round_trip(spark, sf_dir):
+    """Profiles written as JSON and read back with every field checked."""
+    t = Tables(spark, sf_dir)
+    weights = F.map_from_arrays(F.array(*[F.lit(f"f{k:02d}") for k in range(13)]), F.col("weights"))
+    lists = preference.explicit_feedback(t.reactions).groupBy("user").agg(F.map_from_entries(F.collect_list(F.struct("item", "signal"))).alias("explicit"))
+    stored = t.users.join(lists, "user", "left").select("user", profiles.to_text(weights, F.col("explicit"), F.col("events")).alias("profile"))
+    read = stored.select("user", profiles.parsed(F.col("profile"), [f"f{k:02d}" for k in range(13)]).alias("p"))
+    return read.select("user", "p.progress", F.size("p.explicit").alias("explicit"), T.round_half_up(F.get("p.weights", 0), 6).alias("weight"))

@@ -226,7 +226,7 @@ select name, grade, score, id, picked, row_number() over (order by picked desc,
 
 _MERGE = """, src2 as (select name, 0 as source, 'mined:' || name as id, id as passage_id, grade, feminine from best union all select given_name, 1, id, passage_id, grade, feminine from name_candidates),
 c as (select name, list_sort(list(distinct passage_id)) as citations from src2 where passage_id is not null group by name)
-select name, source, id, grade, feminine, coalesce(citations, []) as citations from (select * from src2 qualify row_number() over (partition by name order by source desc, id) = 1) left join c using (name)"""
+select name, source, id, grade, feminine, coalesce(array_to_string(citations, ','), '') as citations from (select * from src2 qualify row_number() over (partition by name order by source desc, id) = 1) left join c using (name)"""
 
 _ALLUSIONS = """with al as (select string_agg(raw, '' order by raw) as raw, string_agg(normalized, '' order by raw) as normal from char_aliases), """ + LEX + """,
 q as (select id, translate(quote, (select raw from al), (select normal from al)) as quote from name_candidates),
@@ -259,7 +259,7 @@ from (select query, grade, place, 0 as n, id_a as id from found union all select
         "evidence_grades": _with(SEARCH, f"select query, {counts}, count(*) filter (grade in ('A', 'B', 'C')) as n_abc, count(*) filter (grade in ('D', 'E')) as n_de from found group by query"),
         "evidence_single_unit": _with(single, "select * from found"),
         "ordinals": _with(RANKED, "select id, book_ord, work_ord, passage_ord from r"),
-        "posting_build": _with(POSTINGS, "select unit, id, positions from post"),
+        "posting_build": _with(POSTINGS, "select unit, id, array_to_string(positions, ',') as positions from post"),
         "posting_rank": _with(POSTINGS, "select unit, passage_ord, rank, row_number() over (partition by unit order by rank, passage_ord) as place from post join r using (id)"),
         "alias_pairs": _with(P, "select distinct raw, normalized from char_aliases where raw <> normalized and exists (select 1 from p where contains(text, raw))"),
         "bucket_histogram": _with(POSTINGS, "select lpad(printf('%x', unicode(unit) // 256), 3, '0') as bucket, count(distinct unit) as units, sum(len(positions))::bigint as occurrences from post group by bucket"),
@@ -287,8 +287,8 @@ from (select query, grade, place, 0 as n, id_a as id from found union all select
         "interleave": "with " + _INTERLEAVE,
         "allusion_pairs": _ALLUSIONS,
         "clause_offsets": _with(CLAUSES, "select * from cl"),
-        "windows": _with(WINDOWS, 'select id, start, "end", text, floor(score * 1e6 + 0.5) / 1e6 as score, opportunities, naming from win'),
-        "nameability": _with(NAMEABLE, "select id, floor(score * 1e6 + 0.5) / 1e6 as score, naming from nb"),
+        "windows": _with(WINDOWS, """select id, start, "end", text, floor(score * 1e6 + 0.5) / 1e6 as score, opportunities, array_to_string(naming, ',') as naming from win"""),
+        "nameability": _with(NAMEABLE, "select id, floor(score * 1e6 + 0.5) / 1e6 as score, array_to_string(naming, ',') as naming from nb"),
         "source_filter": _with(USABLE, "select id, book_id, score from us"),
         "passage_pool": "with " + _POOL,
         "pool_merge": "with " + MINED + _MERGE,
@@ -312,6 +312,20 @@ from (select query, grade, place, 0 as n, id_a as id from found union all select
   from rc ra join rc rb on ra."user" = rb."user" and ra.item < rb.item join it a on a.item = ra.item join it b on b.item = rb.item"""),
         "adaptive_next": "with " + NEXT,
         "curated_search": _with(CURATED, "select * from own union all select * from cs where id_a is not null and id_b is not null and id_a <> id_b union all select * from ds union all select * from es"),
+        "stable_keys": """select event_id, sha256('{"k":' || json_extract_string(props, '$.k') || '}') as key from events""",
+        "redacted": r"""select doc_id, md5(regexp_replace(regexp_replace(text, '\bsk-[A-Za-z0-9_-]{12,}\b', '[REDACTED]', 'g'), '(?i)Bearer\s+[^\s"'']+', 'Bearer [REDACTED]', 'g')) as digest,
+  regexp_matches(text, '\bsk-[A-Za-z0-9_-]{12,}\b') or regexp_matches(text, '(?i)Bearer\s+') as secret from documents where text is not null""",
+        "pair_dedup": _with(MINED, "select name, grade, book_id, min(struct_pack(i := id, d := distance)).i as id, min(struct_pack(i := id, d := distance)).d as distance, count(*) as dropped_and_kept from mined group by name, grade, book_id"),
+        "best_per_name": _with(MINED, """select name, id, distance, grade, k = 1 as kept, case when k > 1 then 'weaker than ' || best_id end as reason from (select *, row_number() over o as k, first_value(id) over o as best_id from (select *, score + case grade when 'A' then 0.15 else 0.05 end as v from mined)
+  window o as (partition by name order by v desc, id, distance, grade))"""),
+        "profile_lookup": """select distinct f.profile_id as profile, c.id from pairwise_feedback f join name_candidates c on f.left_name in (c.given_name, c.full_name) or f.right_name in (c.given_name, c.full_name) where f.profile_id is not null""",
+        "exclusion": """with x as (select distinct unnest([left_name, right_name]) as name from pairwise_feedback where lower(trim(choice)) = 'both-dislike')
+select id from name_candidates where given_name not in (select name from x where name is not null) and full_name not in (select name from x where name is not null)""",
+        "dimension_lists": """select 'category' as list, category as member, count(*) as n from corpus_books group by category union all select 'period', period, count(*) from corpus_books group by period
+union all select 'unit category', c, count(*) from (select unnest([first_category, second_category]) as c from name_candidates) group by c""",
+        "raw_ids": _with(RAW, "select name, printf('RAW-%05d', cast(k as int)) as raw_id from (select name, row_number() over (order by u1, u2) as k from rp)"),
+        "unit_interleave": _with(LEX, "select unit, category, turn from (select *, row_number() over (partition by category order by unit) - 1 as turn from lx) order by turn, category limit 560"),
+        "preliminary_topk": """select id, place, place <= 60 as kept from (select id, row_number() over (order by coalesce(feminine, 0) + coalesce(rarity, 0) + coalesce(usability, 0) desc, id) as place from name_candidates)""",
         "uneven_sources": _with(P, "select book_id from p group by book_id having count(distinct {'a': source_url, 'b': verification_url}) > 1"),
         "outline_sections": _with(P, f"""select work_id as book_id, row_number() over (partition by work_id order by ord, id) - 1 as n, trim(regexp_replace(work_title, '^[0-9]+\\s+', '')) as title, '卷' as chapter_title, t as text
   from (select *, regexp_replace(text, '\\s+', '', 'g') as t from p where work_title <> '') where regexp_matches(nfc_normalize(translate(t, (select raw from al), (select normal from al))), '[{HAN}]')"""),

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkstrata.operators import pool, preference, selection
+from inkstrata.operators import pool, preference, profiles, selection
 from inkstrata.streaming import reactions
 
 
@@ -177,3 +177,18 @@ def test_pointers(spark):
     wanted = spark.createDataFrame([("p", 1), ("p", 3), ("p", 4), ("q", 0)], "passage_id string, place int")
     found = {(r.passage_id, r.place): (r.unit, r.occurrence) for r in pool.pointers(wanted, passages).collect()}
     assert found == {("p", 1): ("行", 1), ("p", 3): ("𠀀", 0), ("p", 4): (None, None), ("q", 0): (None, None)}
+
+
+def test_profiles_are_checked_field_by_field(spark):
+    texts = ['{"version":2,"weights":{"a":9,"b":"x"},"explicitFeedback":{"n":1,"m":7,"k":"y"},"calibrationProgress":99}', '{"version":1,"a":0.5,"b":-0.25}', "broken", None, '{"version":2,"weights":3,"calibrationProgress":-4}']
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    rows = [r.p for r in df.select("i", profiles.parsed(F.col("t"), ["a", "b"], 0.1).alias("p")).orderBy("i").collect()]
+    assert (rows[0].weights, rows[0].explicit, rows[0].progress) == ([3.0, 0.1], {"n": 1.0}, 8)
+    assert rows[1].weights == [0.5, -0.25]
+    assert all((r.weights, r.explicit, r.progress) == ([0.1, 0.1], {}, 0) for r in rows[2:])
+
+
+def test_losing_rows_name_the_winner(spark):
+    df = spark.createDataFrame([("n", "a", 1.0), ("n", "b", 2.0), ("m", "c", 0.0)], "name string, id string, v double")
+    found = {r.id: (r.kept, r.reason) for r in pool.best_kept(df, "name", [F.desc("v"), F.asc("id")]).collect()}
+    assert found == {"a": (False, "weaker than b"), "b": (True, None), "c": (True, None)}
