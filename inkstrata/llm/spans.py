@@ -22,6 +22,8 @@ from inkstrata.session import checkpointed, shuffle_width
 from .codepoints import flatten, rows_of
 
 _FLUSH = 1 << 21  # windows held before they are handed on; bounds a task's memory
+#: Bytes of input whose windows make one bucket, which is sorted in memory: about 100 MB of windows.
+BUCKET_INPUT = 32 << 20
 #: Odd multipliers of the rolling hashes.
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -63,6 +65,12 @@ def _windows(column, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return hashes[at], rows[at], at - offsets[rows[at]], offsets
 
 
+def _buckets(df: DataFrame) -> int:
+    """Parts of the hash range: as many as shuffle partitions, and more if the input's known size would make one larger than a task should hold."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(shuffle_width(df.sparkSession), size // BUCKET_INPUT if size < 1 << 55 else 0)
+
+
 def _probes(block: int, buckets: int):
     """Packs hash, record key and group key of every window; the hash's lowest bit tells an indexed block from a mere probe."""
 
@@ -153,7 +161,7 @@ def shared_windows(df: DataFrame, id_col: str, group_col: str, text_col: str, sp
     Rows with a null id, group or text, and texts shorter than ``span``, have none. Repeated rows of one id count once.
     """
     block = span // 2
-    width = shuffle_width(df.sparkSession)
+    width = _buckets(df)
     rows = df.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.col(text_col).alias("text")).where((F.char_length("text") >= span) & F.col("id").isNotNull() & F.col("grp").isNotNull())
     rows = rows.withColumn("ref", F.xxhash64("text"))
     packed = rows.select("text", "ref", F.xxhash64("grp").alias("group")).mapInArrow(_probes(block, width), "bucket int, body binary")
