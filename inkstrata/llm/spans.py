@@ -67,7 +67,7 @@ def _windows(column, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
 
 def _buckets(df: DataFrame) -> int:
     """Parts of the hash range: as many as shuffle partitions, and more if the input's known size would make one larger than a task should hold."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(shuffle_width(df.sparkSession), size // BUCKET_INPUT if size < 1 << 55 else 0)
 
 
