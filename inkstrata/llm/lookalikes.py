@@ -91,14 +91,13 @@ def table() -> dict[int, str]:
             out.append(char if to is None or depth > 4 else look(to, depth + 1))
         return "".join(out)
 
-    found = {}
-    for point in range(0x110000):
-        if 0xD800 <= point <= 0xDFFF or 0xAC00 <= point <= 0xD7A3:
-            continue
-        char = chr(point)
-        if (to := look(char)) != char:
-            found[point] = to
-    return found
+    return {point: to for point in _assigned() if not 0xAC00 <= point <= 0xD7A3 and (to := look(char := chr(point))) != char}
+
+
+@lru_cache(maxsize=1)
+def _assigned() -> list[int]:
+    """Code points that stand for a character, and those kept for invisible ones."""
+    return [p for p in range(0x110000) if unicodedata.category(chr(p)) not in ("Cn", "Co", "Cs") or 0xE0000 <= p <= 0xE0FFF]
 
 
 @lru_cache(maxsize=1)
@@ -127,27 +126,25 @@ def skeleton(text: str) -> str:
 
 
 @lru_cache(maxsize=1)
-def _classes() -> tuple[re.Pattern, dict[int, list[int]]]:
-    """The pattern of words and of single ideographs that have look-alikes, and the code points by their one-character look."""
+def _classes() -> tuple[re.Pattern, dict[int, list[int]], list[int]]:
+    """The pattern of words and of single ideographs that have look-alikes, the code points by their one-character look, and those of words."""
     word, mark, han, groups = [], [], set(), {}
 
     def is_han(char: str) -> bool:
         return "㐀" <= char <= "鿿" or "\U00020000" <= char <= "\U0003ffff"
 
     looks = table()
-    for point in range(0x110000):
-        if 0xD800 <= point <= 0xDFFF:
-            continue
+    for point in _assigned():
         look = looks.get(point, chr(point))
         if not look:
             mark.append(point)
-        elif (kind := unicodedata.category(look[0])) in ("Mn", "Me", "Mc"):
-            mark.append(point)
         elif is_han(look[0]):
-            if len(look) == 1 and (point in looks):
+            if len(look) == 1 and point in looks:
                 groups.setdefault(ord(look), [ord(look)]).append(point)
                 han.update((point, ord(look)))
-        elif kind[0] in "LN":
+        elif (kind := unicodedata.category(look[0])[0]) == "M":
+            mark.append(point)
+        elif kind in "LN":
             word.append(point)
 
     def ranges(points: list[int]) -> str:
@@ -162,7 +159,7 @@ def _classes() -> tuple[re.Pattern, dict[int, list[int]]]:
         return "".join(out)
 
     marks = ranges(mark)
-    return re.compile(f"[{ranges(word)}][{ranges(word)}{marks}]*|[{ranges(list(han))}]"), groups
+    return re.compile(f"[{ranges(word)}][{ranges(word)}{marks}]*|[{ranges(list(han))}]"), groups, word
 
 
 class Trie:
@@ -262,7 +259,7 @@ class Canon:
                     self.single[point] = ord(look)
                 else:
                     self.hard[point] = True
-            self.hard[_word_points()] = True
+            self.hard[_classes()[2]] = True
         points, offsets = flatten(column)
         mapped = decode(self.single[points])
         hard = np.unique(rows_of(offsets)[self.hard[points]])
@@ -273,13 +270,6 @@ class Canon:
         return pa.array(out, pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))
 
 
-@lru_cache(maxsize=1)
-def _word_points() -> np.ndarray:
-    """Code points a word may begin with."""
-    begins = _word_pattern()
-    return np.array([p for p in range(0x110000) if not 0xD800 <= p <= 0xDFFF and begins.match(chr(p))], np.int64)
-
-
 @lru_cache(maxsize=1)
 def _word_pattern() -> re.Pattern:
     """Words only: ideographs are single tokens and go through the translation table made from the trie."""
