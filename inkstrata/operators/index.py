@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstrata.functions import text as T
@@ -19,7 +19,7 @@ def ordinals(passages: DataFrame) -> DataFrame:
     """``id, book_ord, work_ord, passage_ord``, 0-based, in the order (book_id, ord, id); works by first appearance."""
     rows = place_within(passages.select("id", "book_id", "work_id", "ord"), [], [F.asc("book_id"), F.asc("ord"), F.asc("id")], "p")
     works = place_within(rows.groupBy("book_id", "work_id").agg(F.min("p").alias("first")), [], [F.asc("first")], "w")
-    books = place_within(rows.select("book_id").distinct(), [], [F.asc("book_id")], "b")
+    books = rows.select("book_id").distinct().withColumn("b", F.row_number().over(Window.orderBy("book_id")))  # one row for each book
     return rows.join(works, ["book_id", "work_id"]).join(books, "book_id").select("id", (F.col("b") - 1).alias("book_ord"), (F.col("w") - 1).alias("work_ord"), (F.col("p") - 1).alias("passage_ord"))
 
 
