@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkstrata.operators import pool, preference, profiles, selection
+from inkstrata.operators import mining, pool, preference, profiles, selection
 from inkstrata.streaming import reactions
 
 
@@ -192,3 +193,10 @@ def test_losing_rows_name_the_winner(spark):
     df = spark.createDataFrame([("n", "a", 1.0), ("n", "b", 2.0), ("m", "c", 0.0)], "name string, id string, v double")
     found = {r.id: (r.kept, r.reason) for r in pool.best_kept(df, "name", [F.desc("v"), F.asc("id")]).collect()}
     assert found == {"a": (False, "weaker than b"), "b": (True, None), "c": (True, None)}
+
+
+def test_batches_are_consecutive_and_named_by_their_members(spark):
+    df = spark.createDataFrame([(f"p{i}", i + 1) for i in range(5)], "id string, place int")
+    found = mining.batches(df, 2).orderBy("batch").collect()
+    assert [r.ids for r in found] == [["p0", "p1"], ["p2", "p3"], ["p4"]]
+    assert [r.batch_id for r in found] == [f"source-{i + 1:04d}-{hashlib.sha256(chr(10).join(r.ids).encode()).hexdigest()[:12]}" for i, r in enumerate(found)]
