@@ -95,15 +95,42 @@ def utility(weights: Column, features: Column, explicit: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) + F.coalesce(explicit, F.lit(0.0)) * EXPLICIT
 
 
-def fits(users: DataFrame, features: DataFrame, explicit: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``user, item, fit`` of the wanted (user, item) rows."""
-    rows = wanted.join(users.select("user", "weights"), "user").join(features, "item").join(explicit, ["user", "item"], "left")
-    return rows.select("user", "item", sigmoid(utility(F.col("weights"), F.col("features"), F.col("signal"))).alias("fit"))
+def fits(users: DataFrame, features: DataFrame, explicit: DataFrame) -> DataFrame:
+    """``user, item, fit`` of every user with every item (the output is that product)."""
+    signals = explicit.groupBy("user").agg(F.map_from_entries(F.collect_list(F.struct("item", "signal"))).alias("signals"))
+    rows = users.select("user", "weights").join(signals, "user", "left").crossJoin(F.broadcast(features))
+    return rows.select("user", "item", sigmoid(utility(F.col("weights"), F.col("features"), F.try_element_at("signals", F.col("item")))).alias("fit"))
 
 
-def reasons(users: DataFrame, features: DataFrame, wanted: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
-    """``user, item, reasons``: up to ``most`` features that add more than 0.04, greatest first, then in the order of the keys."""
-    rows = wanted.join(users.select("user", "weights"), "user").join(features, "item")
+def fit_of(weights: np.ndarray, features: np.ndarray, explicit: np.ndarray) -> np.ndarray:
+    """The same for one user over a matrix of features, added up in the same order."""
+    u = np.zeros(len(features))
+    for k, w in enumerate(weights):
+        u += w * (features[:, k] - 0.5)
+    u += explicit * EXPLICIT
+    return np.where(u >= 36, 1.0, np.where(u <= -36, 0.0, 1 / (1 + np.exp(-np.clip(u, -36, 36)))))
+
+
+def states(users: DataFrame, events: DataFrame, recent: DataFrame, shown: DataFrame) -> DataFrame:
+    """``user, weights, reacted, signals, recent, shown, penalties``: one row for each of ``users`` (user, weights).
+
+    The lists have each item once: those reacted to with their signals beside them, the recent ones, those shown with their penalties.
+    """
+    last = events.groupBy("user", "item").agg(F.max(F.struct("at", "seq", "reaction")).alias("e")).select("user", "item", signal(F.col("e.reaction")).alias("value"))
+    listed = lambda df, items, values: df.groupBy("user").agg(F.collect_list(F.struct("item", "value")).alias("x")).select("user", F.col("x.item").alias(items), F.col("x.value").alias(values))
+    rows = users.select("user", "weights").join(listed(last, "reacted", "signals"), "user", "left").join(recent.groupBy("user").agg(F.collect_list("item").alias("recent")), "user", "left")
+    rows = rows.join(listed(exposures(shown).withColumn("value", F.col("penalty")), "shown", "penalties"), "user", "left")
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return rows.select("user", "weights", *[empty(c, "string") for c in ("reacted", "recent", "shown")], *[empty(c, "double") for c in ("signals", "penalties")])
+
+
+def reasons(users: DataFrame, features: DataFrame, wanted: DataFrame | None, keys: list[str], most: int = 3) -> DataFrame:
+    """``user, item, reasons``: up to ``most`` features that add more than 0.04, greatest first, then in the order of the keys.
+
+    Of the wanted (user, item) rows; without these of every user with every item (the output is that product).
+    """
+    own = users.select("user", "weights")
+    rows = own.crossJoin(F.broadcast(features)) if wanted is None else wanted.join(own, "user").join(features, "item")
     names = F.array(*[F.lit(k) for k in keys])
     parts = F.zip_with("weights", "features", lambda w, f: w * (f - 0.5))
     listed = F.transform(parts, lambda v, i: F.struct((-v).alias("v"), i.alias("i")))

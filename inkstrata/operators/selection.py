@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .preference import fit_of
+
 #: The shares of a similarity, of a relevance score, and the cycle of selection modes.
 SIMILARITY = {"style": 0.45, "character": 0.2, "sound": 0.15, "book": 0.1, "relation": 0.1}
 RELEVANCE, DIVERSITY = 0.75, 0.25
@@ -36,100 +40,169 @@ def similarity(x: str, y: str) -> Column:
     )
 
 
-def mode_of(step: Column) -> Column:
-    return F.get(F.array(*[F.lit(m) for m in MODES]), F.greatest(F.lit(0), step) % len(MODES))
+def _style(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    size = np.sqrt((a[:, :STYLES] ** 2).sum(1) * (b[:STYLES] ** 2).sum())
+    return np.divide((a[:, :STYLES] * b[:STYLES]).sum(1), size, out=np.zeros(len(a)), where=size > 0)
 
 
-def next_items(items: DataFrame, state: DataFrame, recent: DataFrame, fits: DataFrame, exposures: DataFrame) -> DataFrame:
-    """The next item of each user: one greedy step of a diverse selection, as joins and a rank.
+class Items:
+    """The item dimension as arrays in the order of ``item``: a few hundred bytes an item, held by every task.
 
-    ``items``: item, name, features, sound, book, relation, category. ``state``: user, step. ``recent``: user, item (a few of each
-    user). ``fits``: user, item, fit of the items that may be chosen. ``exposures``: user, item, penalty.
+    Equal values of a column have equal codes; null (of sounds the empty one too) equals nothing and has -1.
     """
-    side = lambda p: items.select(*[F.col(c).alias(f"{p}{c}") for c in items.columns])
-    seen = recent.join(side("b_"), recent["item"] == F.col("b_item")).select("user", *[f"b_{c}" for c in items.columns])
-    own = fits.join(side("a_"), fits["item"] == F.col("a_item")).drop("item").join(state, "user")
-    met = own.join(seen, "user", "left").withColumn("sim", F.when(F.col("b_item").isNotNull(), similarity("a_", "b_")))
-    shared = F.when(F.col("b_item").isNotNull(), F.transform(F.array_distinct(F.split("a_name", "")), lambda c: F.when(F.contains(F.col("b_name"), c), 1).otherwise(0)))
-    count = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
-    grouped = met.withColumn("hits", shared).groupBy("user", "a_item", "fit", "step").agg(
-        F.coalesce(F.max("sim"), F.lit(0.0)).alias("closest"),
-        count((F.col("a_sound") != "") & (F.col("a_sound") == F.col("b_sound"))).alias("same_sound"),
-        count(F.col("a_category") == F.col("b_category")).alias("same_category"),
-        count(F.col("a_relation") == F.col("b_relation")).alias("same_relation"),
-        F.greatest(F.coalesce(F.sum(F.get("hits", 0)), F.lit(0)), F.coalesce(F.sum(F.get("hits", 1)), F.lit(0)), F.coalesce(F.sum(F.get("hits", 2)), F.lit(0))).alias("most_shared"),
-    )
-    level = F.when((F.col("same_sound") == 0) & (F.col("same_category") < 3) & (F.col("most_shared") < 2), 0).when((F.col("same_sound") == 0) & (F.col("most_shared") < 2), 1).when((F.col("same_sound") == 0) & (F.col("most_shared") < 3), 2).otherwise(3)
-    mode = mode_of(F.col("step"))
-    diversity = 1 - F.col("closest")
-    bonus = F.when(F.col("same_relation") == 0, 0.12).otherwise(0.0) + F.when(F.col("same_category") == 0, 0.08).otherwise(0.0)
-    unsure = 1 - F.abs(F.col("fit") - 0.5) * 2
-    penalty = F.coalesce("penalty", F.lit(0.0))
-    score = F.when(mode == "explore", unsure * 0.5 + diversity * 0.3 + F.col("fit") * 0.2 - penalty).otherwise(F.col("fit") * RELEVANCE + diversity * DIVERSITY + F.when(mode == "diverse", bonus).otherwise(0.0) - penalty)
-    ranked = grouped.join(exposures.select("user", F.col("item").alias("a_item"), "penalty"), ["user", "a_item"], "left").withColumn("mode", mode).withColumn("level", level).withColumn("score", score)
-    # combined before the shuffle: the lowest level, the best score, the smallest item
-    best = ranked.groupBy("user", "mode").agg(F.min(F.struct("level", (-F.col("score")).alias("s"), "a_item")).alias("b"))
-    return best.select("user", "mode", "b.level", F.col("b.a_item").alias("item"), (-F.col("b.s")).alias("score"))
 
+    def __init__(self, items: pd.DataFrame) -> None:
+        items = items.sort_values("item", kind="stable")
+        self.item = items["item"].to_numpy()
+        self.at = {x: k for k, x in enumerate(self.item)}
+        self.features = np.stack(items.features.to_numpy()) if len(items) else np.zeros((0, STYLES))
+        names = [sorted(set(x or "")) for x in items.name]
+        known = {c: k for k, c in enumerate(sorted(set().union(*names)))}
+        self.units = len(known)
+        self.letters = np.full((len(items), max([1, *map(len, names)])), self.units)  # padded with a unit that doesn't count
+        for k, x in enumerate(names):
+            self.letters[k, : len(x)] = [known[c] for c in x]
+        self.sound = pd.factorize(items.sound.where(items.sound != "", None))[0]
+        self.book, self.relation, self.category, self.style = (pd.factorize(items[c])[0] for c in ("book", "relation", "category", "style"))
+
+    def places(self, items: np.ndarray) -> list[int]:
+        return [self.at[x] for x in items if x in self.at]
+
+    def spread(self, items: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The values at the places of their items, 0 elsewhere."""
+        out = np.zeros(len(self.item))
+        for x, v in zip(items, values):
+            if x in self.at:
+                out[self.at[x]] = v
+        return out
+
+    @staticmethod
+    def same(codes: np.ndarray, i: int) -> np.ndarray:
+        return (codes == codes[i]) & (codes >= 0)
+
+    def alike(self, i: int) -> np.ndarray:
+        """Similarity of every item with one."""
+        own = np.zeros(self.units + 1, bool)
+        own[self.letters[i]] = True
+        own[self.units] = False
+        out = _style(self.features, self.features[i]) * SIMILARITY["style"] + own[self.letters].any(1) * SIMILARITY["character"]
+        for codes, share in ((self.sound, "sound"), (self.book, "book"), (self.relation, "relation")):
+            out = out + self.same(codes, i) * SIMILARITY[share]
+        return out
+
+    def count(self, codes: np.ndarray, chosen: list[int]) -> np.ndarray:
+        """How many of the chosen items have each item's value."""
+        return sum((self.same(codes, i).astype(int) for i in chosen), np.zeros(len(codes), int))
+
+    def crowd(self, chosen: list[int]) -> np.ndarray:
+        """How many of the chosen items have the one of each item's characters that most of them have."""
+        met = np.bincount(self.letters[chosen].ravel(), minlength=self.units + 1) if chosen else np.zeros(self.units + 1, int)
+        met[self.units] = 0
+        return met[self.letters].max(1) if len(self.item) else np.zeros(0, int)
+
+
+def _score(mode: str, fit: np.ndarray, closest: np.ndarray, penalty: np.ndarray, bonus: np.ndarray) -> np.ndarray:
+    diversity = 1 - closest
+    if mode == "explore":
+        return (1 - np.abs(fit - 0.5) * 2) * 0.5 + diversity * 0.3 + fit * 0.2 - penalty
+    return fit * RELEVANCE + diversity * DIVERSITY + (bonus if mode == "diverse" else 0.0) - penalty
+
+
+def _next(d: Items, row) -> tuple | None:
+    free = np.ones(len(d.item), bool)
+    free[d.places(row.reacted)] = False
+    if not free.any():
+        return None
+    recent, mode = d.places(row.recent), MODES[len(row.reacted) % len(MODES)]
+    fit, penalty = fit_of(row.weights, d.features, d.spread(row.reacted, row.signals)), d.spread(row.shown, row.penalties)
+    closest = np.max([d.alike(i) for i in recent], axis=0) if recent else np.zeros(len(d.item))
+    sounds, categories, relations, crowd = d.count(d.sound, recent), d.count(d.category, recent), d.count(d.relation, recent), d.crowd(recent)
+    level = np.select([(sounds == 0) & (categories < 3) & (crowd < 2), (sounds == 0) & (crowd < 2), (sounds == 0) & (crowd < 3)], [0, 1, 2], 3)
+    score = _score(mode, fit, closest, penalty, (relations == 0) * 0.12 + (categories == 0) * 0.08)
+    left = np.flatnonzero(free & (level == level[free].min()))
+    best = int(left[np.argmax(score[left])])  # of equal ones the first: the smaller item
+    return row.user, mode, int(level[best]), d.item[best], float(score[best])
+
+
+def next_items(items: DataFrame, users: DataFrame) -> DataFrame:
+    """``user, mode, level, item, score``: the next item of each user, chosen among all items that the user didn't react to.
+
+    ``items``: item, name, features, sound, book, relation, category, style; it goes to every task as arrays. ``users``: as of
+    ``preference.states``. An item that was shown has a penalty and may still be chosen.
+    """
+    d = Items(items.toPandas())
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame([x for row in part.itertuples(index=False) if (x := _next(d, row))], columns=["user", "mode", "level", "item", "score"])
+
+    return users.mapInPandas(run, "user bigint, mode string, level int, item string, score double")
+
+
+def _greedy(d: Items, fit: np.ndarray, penalty: np.ndarray, size: int) -> list[tuple[int, str, float]]:
+    """Place in ``d``, mode and score of each item of a batch, in the order of choice."""
+    n = len(fit)
+    want = min(size, n)
+    fit_n = min(want, -(-want * 7 // 12))
+    explore_n = min(want - fit_n, want * 2 // 12)
+    plan = ["fit"] * fit_n + ["diverse"] * (want - fit_n - explore_n) + ["explore"] * explore_n
+    closest, left, picked, out = np.zeros(n), np.ones(n, bool), [], []
+    sounds, categories, relations, styles = (np.zeros(n, int) for _ in range(4))
+    for mode in plan:
+        crowd = d.crowd(picked)
+        for allowed in (left & (sounds == 0) & (categories < 3) & (crowd < 2), left & (sounds == 0) & (crowd < 2), left & (sounds == 0) & (crowd < 3), left):
+            if allowed.any():
+                break
+        score = _score(mode, fit, closest, penalty, (styles == 0) * 0.18 + (relations == 0) * 0.12 + (categories == 0) * 0.08)
+        best = int(np.flatnonzero(allowed)[np.argmax(score[allowed])])
+        picked.append(best)
+        left[best] = False
+        out.append((best, mode, float(score[best])))
+        for counts, codes in ((sounds, d.sound), (categories, d.category), (relations, d.relation), (styles, d.style)):
+            counts += d.same(codes, best)
+        closest = np.maximum(closest, d.alike(best)) if len(picked) > 1 else d.alike(best)
+    return out
 
-def _style(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    size = np.sqrt((a[:, :STYLES] ** 2).sum(1) * (b[:STYLES] ** 2).sum())
-    return np.divide((a[:, :STYLES] * b[:STYLES]).sum(1), size, out=np.zeros(len(a)), where=size > 0)
+
+BATCH = "user string, place int, item string, mode string, score double"
+
+
+def _rows(user, d: Items, chosen: list[tuple[int, str, float]]) -> list[tuple]:
+    return [(user, k + 1, d.item[i], mode, score) for k, (i, mode, score) in enumerate(chosen)]
 
 
 def _batch(size: int):
     def choose(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values("item", kind="stable").reset_index(drop=True)
-        n = len(pool)
-        want = min(size, n)
-        fit_n = min(want, -(-want * 7 // 12))
-        explore_n = min(want - fit_n, want * 2 // 12)
-        plan = ["fit"] * fit_n + ["diverse"] * (want - fit_n - explore_n) + ["explore"] * explore_n
-        features = np.stack(pool.features.to_numpy()) if n else np.zeros((0, STYLES))
-        letters = [set(x) for x in pool.name]
-        sound, book, relation, category, style = (pool[c].to_numpy() for c in ("sound", "book", "relation", "category", "style"))
-        fit, penalty = pool.fit.to_numpy(), pool.penalty.fillna(0.0).to_numpy()
-        closest, left, picked, scores = np.zeros(n), np.ones(n, bool), [], []
-        same_sound, categories, counts = np.zeros(n, bool), {}, {}
-        for mode in plan:
-            crowd = np.array([max((counts.get(c, 0) for c in s), default=0) for s in letters])
-            full = np.array([categories.get(c, 0) >= 3 for c in category], bool)
-            for allowed in (left & ~same_sound & ~full & (crowd < 2), left & ~same_sound & (crowd < 2), left & ~same_sound & (crowd < 3), left):
-                if allowed.any():
-                    break
-            else:
-                break
-            diversity = 1 - closest
-            if mode == "explore":
-                score = (1 - np.abs(fit - 0.5) * 2) * 0.5 + diversity * 0.3 + fit * 0.2 - penalty
-            else:
-                score = fit * RELEVANCE + diversity * DIVERSITY - penalty
-                if mode == "diverse":
-                    score = score + ~np.isin(style, style[picked]) * 0.18 + ~np.isin(relation, relation[picked]) * 0.12 + ~np.isin(category, category[picked]) * 0.08
-            best = int(np.flatnonzero(allowed)[np.argmax(score[allowed])])
-            picked.append(best)
-            left[best] = False
-            scores.append(float(score[best]))
-            for c in letters[best]:
-                counts[c] = counts.get(c, 0) + 1
-            categories[category[best]] = categories.get(category[best], 0) + 1
-            same_sound |= (sound == sound[best]) & (sound != "")
-            alike = _style(features, features[best]) * SIMILARITY["style"] + np.array([bool(letters[best] & s) for s in letters]) * SIMILARITY["character"]
-            alike += ((sound == sound[best]) & (sound != "")) * SIMILARITY["sound"] + (book == book[best]) * SIMILARITY["book"] + (relation == relation[best]) * SIMILARITY["relation"]
-            closest = np.maximum(closest, alike) if len(picked) > 1 else alike
-        out = pool.iloc[picked]
-        return pd.DataFrame({"user": out.user, "place": np.arange(1, len(out) + 1, dtype=np.int32), "item": out["item"], "mode": plan[: len(out)], "score": np.array(scores, float)})
+        pool = pool.sort_values("item", kind="stable")
+        d = Items(pool)
+        rows = _rows(pool.user.iloc[0] if len(pool) else None, d, _greedy(d, pool.fit.to_numpy(), pool.penalty.fillna(0.0).to_numpy(), size))
+        return pd.DataFrame(rows, columns=["user", "place", "item", "mode", "score"])
 
     return choose
 
 
+def batches_of_all(items: DataFrame, users: DataFrame, size: int = 12) -> DataFrame:
+    """``user, place, item, mode, score``: the same as ``mmr_batches``, every user's pool being all items. Arguments as of ``next_items``."""
+    d = Items(items.toPandas())
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for row in part.itertuples(index=False):
+                fit = fit_of(row.weights, d.features, d.spread(row.reacted, row.signals))
+                rows += _rows(str(row.user), d, _greedy(d, fit, d.spread(row.shown, row.penalties), size))
+            yield pd.DataFrame(rows, columns=["user", "place", "item", "mode", "score"])
+
+    return users.mapInPandas(run, BATCH)
+
+
 def mmr_batches(pools: DataFrame, size: int = 12) -> DataFrame:
     """``user, place, item, mode, score``: a batch of fitting, diverse and exploring items for every user.
 
     ``pools``: user, item, name, features, sound, book, relation, category, style, fit, penalty; a user's pool is the item
     dimension, already narrowed by the caller to what one task may hold.
     """
-    return pools.groupBy("user").applyInPandas(_batch(size), "user string, place int, item string, mode string, score double")
+    return pools.groupBy("user").applyInPandas(_batch(size), BATCH)
 
 
 def _diverse(pool: pd.DataFrame) -> pd.DataFrame:

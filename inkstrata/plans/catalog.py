@@ -12,7 +12,7 @@ from inkstrata.functions import jsontext
 from inkstrata.functions import text as T
 from inkstrata.operators import index, mining, pool, preference, profiles, quality, search, selection
 from inkstrata.operators.numbering import place_within
-from inkstrata.session import checkpointed, table
+from inkstrata.session import checkpointed, shuffle_width, table
 from inkstrata.sources import importers, sinks
 from inkstrata.streaming import reactions as stream
 
@@ -98,9 +98,20 @@ class Tables:
     def users(self) -> DataFrame:
         return preference.reaction_weights(self.reactions, self.item_features, 13)
 
+    @property
+    def people(self) -> DataFrame:
+        """Every user of an event with the weights learnt so far, all 0 without a reaction."""
+        seen = self.events.where("user_id is not null").select(F.col("user_id").alias("user")).distinct()
+        return seen.join(self.users, "user", "left").select("user", F.coalesce("weights", F.array_repeat(F.lit(0.0), 13)).alias("weights"))
+
+    @property
+    def states(self) -> DataFrame:
+        found = preference.states(self.people, self.reactions, pool.recent(self.reactions), self.shown)
+        return found.repartition(shuffle_width(self.spark))
+
     @property
     def fits(self) -> DataFrame:
-        return preference.fits(self.users, self.item_features, preference.explicit_feedback(self.reactions), self.shown.distinct())
+        return preference.fits(self.people, self.item_features, preference.explicit_feedback(self.reactions))
 
 
 def _joined(column: str) -> Column:
@@ -416,7 +427,7 @@ def fit(spark, sf_dir):
 @query
 def reasons(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    out = preference.reasons(t.users, t.item_features, t.shown.distinct(), [f"f{k:02d}" for k in range(13)])
+    out = preference.reasons(t.people, t.item_features, None, [f"f{k:02d}" for k in range(13)])
     return out.select("user", "item", F.array_join("reasons", ",").alias("reasons"))
 
 
@@ -442,17 +453,14 @@ def item_similarity(spark, sf_dir):
 @query
 def adaptive_next(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    state = t.reactions.groupBy("user").agg(F.countDistinct("item").cast("int").alias("step"))
-    free = t.fits.join(t.reactions.select("user", "item").distinct(), ["user", "item"], "left_anti")
-    out = selection.next_items(t.items, state, pool.recent(t.reactions).select("user", "item"), free, preference.exposures(t.shown).select("user", "item", "penalty"))
+    out = selection.next_items(t.items, t.states)
     return out.withColumn("score", T.round_half_up(F.col("score"), 6))
 
 
 @query
 def mmr_batch(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    pools = t.fits.join(t.items, "item").join(preference.exposures(t.shown).select("user", "item", "penalty"), ["user", "item"], "left")
-    return selection.mmr_batches(pools.withColumn("user", F.col("user").cast("string")))
+    return selection.batches_of_all(t.items, t.states)
 
 
 @query
