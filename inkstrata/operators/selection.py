@@ -116,9 +116,9 @@ def _next(d: Items, row) -> tuple | None:
     recent, mode = d.places(row.recent), MODES[len(row.reacted) % len(MODES)]
     fit, penalty = fit_of(row.weights, d.features, d.spread(row.reacted, row.signals)), d.spread(row.shown, row.penalties)
     closest = np.max([d.alike(i) for i in recent], axis=0) if recent else np.zeros(len(d.item))
-    sounds, categories, relations, crowd = d.count(d.sound, recent), d.count(d.category, recent), d.count(d.relation, recent), d.crowd(recent)
+    sounds, categories, relations, styles, crowd = *(d.count(c, recent) for c in (d.sound, d.category, d.relation, d.style)), d.crowd(recent)
     level = np.select([(sounds == 0) & (categories < 3) & (crowd < 2), (sounds == 0) & (crowd < 2), (sounds == 0) & (crowd < 3)], [0, 1, 2], 3)
-    score = _score(mode, fit, closest, penalty, (relations == 0) * 0.12 + (categories == 0) * 0.08)
+    score = _score(mode, fit, closest, penalty, (styles == 0) * 0.18 + (relations == 0) * 0.12 + (categories == 0) * 0.08)
     left = np.flatnonzero(free & (level == level[free].min()))
     best = int(left[np.argmax(score[left])])  # of equal ones the first: the smaller item
     return row.user, mode, int(level[best]), d.item[best], float(score[best])

@@ -47,6 +47,14 @@ def test_fits_and_reasons_are_of_every_pair(spark):
     assert len(told) == 16 and told[1, "i7"] == ["a"] and told[1, "i0"] == []
 
 
+def test_the_bonus_of_a_diverse_step_counts_a_new_style(spark):
+    rows = [(f"i{k}", chr(97 + k) + chr(107 + k), [0.5] * 13, f"s{k}", k, 0, "c", style) for k, style in enumerate((0, 0, 0, 1))]
+    users = state(spark, {1: [0.0] * 13}, [(1, "i0", "skip"), (1, "i1", "skip")], [])
+    (r,) = selection.next_items(spark.createDataFrame(rows, ITEMS.replace("category int", "category string")), users).collect()
+    # relation and category are known, so only the style tells i3 from i2
+    assert (r.mode, r.item) == ("diverse", "i3") and r.score == pytest.approx(0.5 * 0.75 + (1 - 0.55) * 0.25 + 0.18)
+
+
 @needs_tables
 def test_fit_agrees_with_its_sql_and_covers_all_pairs(spark):
     _, rows = compare.rows_of(catalog.queries()["fit"], spark)
@@ -59,9 +67,13 @@ def test_fit_agrees_with_its_sql_and_covers_all_pairs(spark):
 
 @needs_tables
 def test_the_next_item_equals_the_sql_over_the_whole_pool(spark):
-    """The query's SQL looks at shown items only; here its first table has all pairs instead."""
-    cut = "from (select distinct * from sh) s"
-    sql = catalog.oracle_sql()["adaptive_next"]
-    assert cut in sql
-    whole = sql.replace(cut, 'from (select w."user", i.item from wt w, it i) s')
+    """The query's SQL looks at shown items only and has no style in its bonus; here its first table has all pairs, and the style is added."""
+    whole = catalog.oracle_sql()["adaptive_next"]
+    for cut, full in (
+        ("from (select distinct * from sh) s", 'from (select w."user", i.item from wt w, it i) s'),
+        ("count(*) filter (a.relation = b.relation) as sr", "count(*) filter (a.relation = b.relation) as sr, count(*) filter (a.style = b.style) as st"),
+        ("(sr = 0)::int * 0.12", "(st = 0)::int * 0.18 + (sr = 0)::int * 0.12"),
+    ):
+        assert cut in whole
+        whole = whole.replace(cut, full)
     assert compare.rows_of(catalog.queries()["adaptive_next"], spark) == compare.rows_of_sql(whole)
