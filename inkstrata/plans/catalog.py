@@ -71,7 +71,7 @@ class Tables:
     @property
     def factory(self) -> DataFrame:
         score = F.when(~F.isnan("score"), F.col("score"))
-        return table(self.spark, self.at, "factory_passages").where("book_id is not null").select("id", F.lower(F.regexp_replace("book_id", r"(?U)^\s+|\s+$", "")).alias("book_id"), "work_title", "text", "normalized_text", score.alias("score")).distinct()
+        return table(self.spark, self.at, "factory_passages").select("id", F.lower(F.regexp_replace("book_id", r"(?U)^\s+|\s+$", "")).alias("book_id"), "work_title", "text", "normalized_text", score.alias("score")).distinct()
 
     @property
     def items(self) -> DataFrame:
@@ -311,7 +311,8 @@ def source_filter(spark, sf_dir):
 
 
 def _usable(t: Tables) -> DataFrame:
-    return t.factory.where(mining.usable_source(F.col("text"), F.col("normalized_text"), F.col("score")))
+    """The passages that a selection by book may take: those without a book have no share in it."""
+    return t.factory.where(F.col("book_id").isNotNull() & mining.usable_source(F.col("text"), F.col("normalized_text"), F.col("score")))
 
 
 @query
