@@ -9,6 +9,7 @@ Abbreviations are looked up in a trie that is read backwards from the dot.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -156,23 +157,22 @@ def _dot_ends(text: str, at: int, begin: int, first: int, last: int) -> bool:
 def _matched(text: str, first: int, last: int) -> dict[int, int]:
     """Opening signs of a paragraph with a closing partner: place -> partner's place. Lone signs are not in it."""
     stack: list[tuple[str, int]] = []
+    waiting: Counter[str] = Counter()  # how many signs of the stack want a partner, so that only searches that end well are made
     pairs: dict[int, int] = {}
     for match in _EVENT.finditer(text, first, last):
         char = match.group()[0]
         at = match.start()
-        if stack and char in CLOSERS:
-            for depth in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
-                want = OPENERS[stack[depth][0]]
-                if char == want or (char == "”" and want == "“"):
-                    pairs[stack[depth][1]] = at
-                    del stack[depth:]
+        wants = (char, "“") if char == "”" else (char,)
+        if char in CLOSERS and any(waiting[w] for w in wants):
+            while True:
+                sign, place = stack.pop()
+                waiting[OPENERS[sign]] -= 1
+                if OPENERS[sign] in wants:
+                    pairs[place] = at
                     break
-            else:
-                if char in OPENERS:
-                    stack.append((char, at))
-            continue
-        if char in OPENERS:
+        elif char in OPENERS:
             stack.append((char, at))
+            waiting[OPENERS[char]] += 1
     return pairs
 
 

@@ -62,3 +62,10 @@ def test_rows(spark):
     assert sorted(r for r in found if r[0] == 1) == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9)]
     assert sum(r[0] == 5 for r in found) == 20_000 and {r[0] for r in found} == {1, 5}
     assert sentences(df.limit(0), "doc_id", "text").collect() == []
+
+
+@pytest.mark.parametrize("stray", ["( ( (", "( « ( «", "„ ( ( ("])
+def test_stray_opening_signs_do_not_hide_a_partner(stray):
+    parts = [f"“It {stray} was late. No one came.”", "Ben slept."]
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in sentence_spans(text)] == parts
