@@ -1,8 +1,9 @@
 """Encoding of whole texts with a public byte-level BPE tokenizer, and decoding.
 
-Overlapping chunk encoding. A text longer than a chunk is pre-tokenised in chunks that overlap; neighbours are stitched at the
-first pre-token boundary that both see in their overlap (a pre-token depends only on what follows its start, so from there on both
-agree), and the pieces between the stitches are encoded on their own. Very long texts have their chunks spread over the cluster.
+Overlapping chunk encoding. Every text is laid out in chunks that overlap; the overlap is pre-tokenised from both sides, and
+neighbours are stitched at the first pre-token boundary that both see (a pre-token depends only on what follows its start, so from
+there on both agree). The pieces between the stitches are encoded on their own, as one flat list for a batch of texts. Texts of all
+lengths, repeated and null ids among them, go this one way, in one pass over the input and without a shuffle.
 """
 
 from __future__ import annotations
@@ -10,36 +11,28 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 from functools import lru_cache
-from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
-CHUNK, OVERLAP = 1 << 16, 1 << 11
-#: Texts of more code points than this are encoded chunk by chunk in separate tasks.
-SPREAD_FROM = 1 << 20
-
-
-def _pattern(folder: str) -> str:
-    import importlib.util
-
-    spec = importlib.util.spec_from_file_location("public_tokenizers_at", Path(folder) / "__init__.py")
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    return module.PATTERN
+CHUNK, OVERLAP = 512, 64
+#: Fixed value: the pattern of the vocabulary's pre-tokens.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 @lru_cache(maxsize=4)
-def codec(folder: str, name: str):
+def codec(path: str, pattern: str = PATTERN):
     """The encoder of a rank file and the compiled pattern of its pre-tokens."""
     import regex
     import tiktoken
 
-    ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, open(Path(folder) / f"{name}.tiktoken", "rb"))}
-    pattern = _pattern(folder)
-    return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), regex.compile(pattern)
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), regex.compile(pattern)
 
 
 def starts(pattern, text: str, begin: int, end: int, stop: int) -> list[int]:
@@ -62,9 +55,10 @@ def stitches(pattern, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
     """Positions, 0 and the text's length among them, at which the text can be cut without changing its pre-tokens.
 
     A cut lies at a boundary that both neighbouring chunks see, and never behind white space, whose pre-tokens depend on what
-    follows. Where an overlap has none, its chunks stay together.
+    follows. Where an overlap has none, its chunks stay together, and the next one ends twice as far, so that a text without any
+    boundary is still read a fixed number of times only.
     """
-    cuts, begin = [0], chunk
+    cuts, begin, step = [0], chunk, chunk
     while begin < len(text):
         limit = min(len(text), begin + overlap)
         right = set(starts(pattern, text, begin, limit, limit))
@@ -72,7 +66,10 @@ def stitches(pattern, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) ->
         met = next((m.start() for m in left if m.start() in right and not text[m.start() - 1].isspace()), None)
         if met is not None and met > cuts[-1]:
             cuts.append(met)
-        begin += chunk
+            step = chunk
+        else:
+            step *= 2
+        begin += step
     return [*cuts, len(text)]
 
 
@@ -87,56 +84,51 @@ def _sure(text: str, last: int, begin: int) -> int:
     return at
 
 
-def encode_text(text: str | None, folder: str = TOKENIZERS, name: str = "byte_bpe_50k", chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """The ids of a text without special tokens; strings of special tokens in it are ordinary text. Null and empty give no ids."""
+def pieces_of(pattern, text: str | None, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """The pieces of a text that are encoded on their own; none for null and empty texts."""
     if not text:
         return []
-    encoder, pattern = codec(folder, name)
-    if len(text) <= chunk:
-        return encoder.encode_ordinary(text)
     cuts = stitches(pattern, text, chunk, overlap)
-    return [i for a, b in zip(cuts, cuts[1:]) for i in encoder.encode_ordinary(text[a:b])]
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def decode_ids(ids: list[int], folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> str:
-    """The text of ids: their bytes joined, then read as UTF-8 (incomplete characters become U+FFFD)."""
-    return b"".join(codec(folder, name)[0].decode_tokens_bytes(ids)).decode("utf-8", "replace")
+def encode_text(text: str | None, path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """The ids of a text without special tokens; strings of special tokens in it are ordinary text. Null and empty give no ids."""
+    encoder, pattern = codec(path)
+    return [i for piece in pieces_of(pattern, text, chunk, overlap) for i in encoder.encode_ordinary(piece)]
 
 
-def _ids(folder: str, name: str, chunk: int, overlap: int, text_at: int):
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [encode_text(t, folder, name, chunk, overlap) for t in batch.column(text_at).to_pylist()]
-            columns = [batch.column(i) for i in range(batch.num_columns) if i != text_at] + [pa.array(ids, pa.list_(pa.int32()))]
-            names = [n for i, n in enumerate(batch.schema.names) if i != text_at] + ["ids"]
-            yield pa.record_batch(columns, names=names)
+def decode_ids(ids: list[int], path: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> str:
+    """The text of ids: their bytes joined, then read as UTF-8 (incomplete characters become U+FFFD)."""
+    return b"".join(codec(path)[0].decode_tokens_bytes(ids)).decode("utf-8", "replace")
 
-    return encode
 
+def _lists(lengths: list[int], values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths, dtype=np.int64)].astype(np.int32)), pa.array(values))
 
-def _cut_long(folder: str, name: str, chunk: int, overlap: int):
-    """Rows of a long text's independent pieces."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _ids(file: str, pattern: str, chunk: int, overlap: int):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, boundary = codec(SparkFiles.get(file), pattern)
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1).to_pylist()):
-                places = stitches(codec(folder, name)[1], text, chunk, overlap)
-                pieces = [text[a:b] for a, b in zip(places, places[1:])]
-                yield pa.record_batch([pa.array([key.as_py()] * len(pieces), batch.schema.field(0).type), pa.array(range(len(pieces)), pa.int32()), pa.array(pieces, pa.string())], names=["id", "piece", "text"])
+            cut = [pieces_of(boundary, text.as_py(), chunk, overlap) for text in batch.column(1)]
+            flat = [encoder.encode_to_numpy(piece, disallowed_special=()) for pieces in cut for piece in pieces]
+            sizes = np.array([len(x) for x in flat], np.int64)
+            ends = np.r_[0, np.cumsum([len(pieces) for pieces in cut], dtype=np.int64)]
+            total = np.r_[0, np.cumsum(sizes)]
+            ids = np.concatenate(flat).astype(np.int32) if flat else np.zeros(0, np.int32)
+            yield pa.record_batch([batch.column(0), _lists(np.diff(total[ends]), ids), pa.array(np.diff(ends).astype(np.int32))], names=["id", "ids", "pieces"])
 
-    return cut
+    return encode
 
 
-def encode(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k", chunk: int = CHUNK, overlap: int = OVERLAP, spread_from: int = SPREAD_FROM) -> DataFrame:
-    """``id, ids``: the token ids of every row's text, no special tokens added. Null and empty texts have an empty list.
+def encode(df: DataFrame, id_col: str, text_col: str, folder: str = TOKENIZERS, name: str = "byte_bpe_50k", pattern: str = PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+    """``id, ids, pieces``: the token ids of every row's text, no special tokens added, and in how many pieces it was encoded.
 
-    ``folder`` holds the tokenizer files and must be readable on every executor. Repeated rows stay repeated (ids of long texts must be distinct).
+    Null and empty texts have an empty list and no pieces. Every row gives one row: repeated rows, repeated ids and null ids stay.
+    ``folder`` is read by the driver, which sends the rank file to the executors.
     """
+    df.sparkSession.sparkContext.addFile(f"{folder}/{name}.tiktoken")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = df.schema[id_col].dataType.simpleString()
-    is_long = F.coalesce(F.char_length("text"), F.lit(0)) > spread_from
-    short = rows.where(~is_long).select("id", "text").mapInArrow(_ids(folder, name, chunk, overlap, 1), f"id {kind}, ids array<int>")
-    pieces = rows.where(is_long).dropDuplicates(["id"]).mapInArrow(_cut_long(folder, name, chunk, overlap), f"id {kind}, piece int, text string")
-    parts = pieces.repartition("id", "piece").mapInArrow(_ids(folder, name, chunk, overlap, 2), f"id {kind}, piece int, ids array<int>")
-    joined = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p")).select("id", F.flatten("p.ids").alias("ids"))
-    return short.unionByName(joined)
+    return rows.mapInArrow(_ids(f"{name}.tiktoken", pattern, chunk, overlap), f"id {kind}, ids array<int>, pieces int")
