@@ -63,12 +63,14 @@ def cuts(points: np.ndarray, offsets: np.ndarray, room: np.ndarray, overlap: int
     probe = base[node_row] + np.minimum(reach, size)
     natural = last[probe] - base[node_row]
     forced = np.minimum(reach, size)
-    clinging = np.zeros(n + 1, bool)
+    clinging = np.zeros(n, bool)
     for a, b in _CLINGING:
-        clinging[:-1] |= (points >= a) & (points <= b)
+        clinging |= (points >= a) & (points <= b)
+    clinging[offsets[:-1][lengths > 0]] = False  # a text's first character begins a sequence
+    begins = np.maximum.accumulate(np.where(~clinging, np.arange(n), -1))  # where the sequence of a code point begins
+    inside = forced < size
     whole = forced.copy()
-    for _ in range(8):  # longer clusters are cut
-        whole -= (whole < size) & clinging[np.minimum(whole + offsets[node_row], n)]
+    whole[inside] = begins[(forced + offsets[node_row])[inside]] - offsets[node_row[inside]]
     forced = np.where(whole > at, whole, forced)
     end = np.where(reach >= size, size, np.where(natural > at, natural, forced))
     step = base[node_row] + end
@@ -93,7 +95,8 @@ def _pieces(limit: int, overlap: int, marks: str, closers: str):
         for batch in batches:
             points, offsets = flatten(batch.column(2))
             titles = batch.column(1).to_pylist()
-            room = np.maximum(1, limit - np.array([len(t or "") for t in titles], np.int64))
+            space = limit - np.array([len(t or "") for t in titles], np.int64)
+            room = np.maximum(1, space)
             flags = boundaries(points, offsets, marks, closers)
             stops = flags.copy()
             stops[offsets] = True
@@ -103,6 +106,10 @@ def _pieces(limit: int, overlap: int, marks: str, closers: str):
             if len(points):
                 np.maximum.at(longest, rows_of(offsets)[edge[:-1]], stretch)
             rows, ends = cuts(points, offsets, room, overlap, flags)
+            bare = np.flatnonzero(np.diff(offsets) == 0)  # a title alone is a piece without text
+            if len(bare):
+                order = np.argsort(np.r_[rows, bare], kind="stable")
+                rows, ends = np.r_[rows, bare][order], np.r_[ends, np.zeros(len(bare), np.int64)][order]
             fresh = np.r_[True, rows[1:] != rows[:-1]][: len(rows)]
             lap = np.minimum(overlap, room[rows] - 1)
             starts = np.where(fresh, 0, np.r_[0, np.maximum(ends[:-1], 0)][: len(rows)] - lap)
@@ -110,7 +117,7 @@ def _pieces(limit: int, overlap: int, marks: str, closers: str):
             first = np.flatnonzero(fresh)
             number = np.arange(len(rows)) - np.repeat(first, np.diff(np.r_[first, len(rows)]))
             take = pa.array(rows)
-            kind = np.where(longest > room, "forced", "natural")
+            kind = np.where(longest > space, "forced", "natural")
             texts = [decode(points[offsets[r] + a : offsets[r] + b]) for r, a, b in zip(rows, starts, ends)]
             yield pa.record_batch([batch.column(0).take(take), pa.array(kind[rows].tolist(), pa.string()), pa.array(number.astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32)), batch.column(1).take(take), pa.array(texts, pa.string())], names=schema)
 
@@ -123,10 +130,10 @@ def split_oversized(df: DataFrame, id_col: str, title_col: str, text_col: str, l
     A piece is its title and ``text[start_at:end_at]``, at most ``limit`` characters together; each but the first begins with the
     last ``overlap`` characters of the one before. A piece ends at the farthest boundary it can reach, else where it is full (but
     not inside a combining sequence). kind is ``forced`` if some stretch between boundaries doesn't fit a piece, else ``natural``.
-    A null title is empty. A title that leaves no room still gets pieces of one character; where the overlap doesn't fit, it is
-    one character less than the room. Null ids and null texts have no pieces. Repeated rows of one id count once (the greatest).
+    A null title is empty. A title that leaves no room still gets pieces of one character (kind ``forced``), or one piece without text
+    if the text is empty; where the overlap doesn't fit, it is one character less than the room. Null ids and null texts have no pieces. Repeated rows of one id count once (the greatest).
     """
     chosen = df.select(F.col(id_col).alias("id"), F.col(title_col).alias("title"), F.col(text_col).alias("text"))
-    long = chosen.where((F.coalesce(F.char_length("title"), F.lit(0)) + F.char_length("text") > limit) & F.col("id").isNotNull() & (F.char_length("text") > 0))
+    long = chosen.where((F.coalesce(F.char_length("title"), F.lit(0)) + F.char_length("text") > limit) & F.col("id").isNotNull())
     once = long.groupBy("id").agg(F.max(F.struct("text", "title")).alias("row")).select("id", "row.title", "row.text")
     return once.mapInArrow(_pieces(limit, overlap, marks, closers), "id string, kind string, piece int, start_at int, end_at int, title string, text string")

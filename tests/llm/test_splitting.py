@@ -68,20 +68,27 @@ def test_pieces_cover_overlap_and_fit(spark):
 
 
 def test_kinds_at_the_limit(spark):
-    rows = [("fits", None, "天" * 239 + "。" + "地"), ("forced", None, "天" * 240 + "。" + "地"), ("title", "题", "天" * 239 + "。"), ("short", "题", "天" * 239)]
+    rows = [("fits", None, "天" * 239 + "。" + "地"), ("forced", None, "天" * 240 + "。" + "地"), ("title", "题", "天" * 239 + "。"), ("short", "题", "天" * 239), ("narrow", "题" * 300, "x"), ("brim", "题" * 239, "天。"), ("one", "题" * 239, "。。")]
     kinds = {r.id: r.kind for r in split(spark, rows)}
-    assert kinds == {"fits": "natural", "forced": "forced", "title": "forced"}
+    assert kinds == {"fits": "natural", "forced": "forced", "title": "forced", "narrow": "forced", "brim": "forced", "one": "natural"}
 
 
 def test_titles_without_room_nulls_repeats_and_long_texts(spark):
     rows = [("wide", "题" * 300, "天地"), ("none", "题" * 300, None), ("empty", "题" * 300, ""), (None, None, "天" * 300), ("twice", None, "天。" * 200), ("twice", None, "天。" * 200), ("long", None, "天" * 100_000)]
     found = split(spark, rows)
     assert [r.text for r in found if r.id == "wide"] == ["天", "地"]
-    assert {r.id for r in found} == {"wide", "twice", "long"}
+    assert {r.id for r in found} == {"wide", "twice", "long", "empty"}
+    assert [(r.kind, r.piece, r.start_at, r.end_at, r.text) for r in found if r.id == "empty"] == [("forced", 0, 0, 0, "")]
     assert len({r.piece for r in found if r.id == "twice"}) == sum(r.id == "twice" for r in found)
     assert split(spark, []) == []
 
 
 def test_forced_cuts_spare_combining_marks(spark):
+    for marks in (1, 30):
+        text = ("e" + "\u0301" * marks) * 400
+        found = split(spark, [("a", None, text)], overlap=0)
+        assert "".join(r.text for r in found) == text and all(r.text.startswith("e") and len(r.text) <= 240 for r in found)
+    only = split(spark, [("a", None, "e" + "\u0301" * 700)], overlap=0)  # one sequence longer than a piece
+    assert [len(r.text) for r in only] == [240, 240, 221]
     text = "e\u0301" * 400
     assert all(not r.text.startswith("\u0301") for r in split(spark, [("a", None, text)], overlap=0))
