@@ -1,7 +1,7 @@
 """A selection in which no contributor has more than its share, the best records of each staying.
 
-The limit comes from water-filling over the histogram of the contributors' counts (at most the root of twice the number of rows
-long); the ranks within a contributor come from one range partitioning by (contributor, quality), so a contributor with a third
+The limit comes from water-filling over the sorted histogram of the contributors' counts (at most the root of twice the number of rows
+long), whether the share is one of the input or of the output; the ranks within a contributor come from one range partitioning by (contributor, quality), so a contributor with a third
 of all rows is spread over as many tasks as its rows fill.
 """
 
@@ -16,40 +16,37 @@ from pyspark.sql import functions as F
 from inkstrata.session import checkpointed
 
 
-def water_level(counts: np.ndarray, owners: np.ndarray, share: float) -> int:
-    """The largest cap for which no contributor's kept rows exceed ``share`` of all kept rows.
+def water_level(counts: np.ndarray, owners: np.ndarray, share: float, most: int | None = None, total: float | None = None) -> int:
+    """The largest cap under which nobody keeps more than ``share`` of all kept records.
 
-    ``owners[i]`` contributors have ``counts[i]`` rows each. With a cap c the output is T(c) = sum of min(count, c) and the share
-    holds if c <= share * T(c) or nobody exceeds the cap-free share. As T(c) / c falls with c, the answer is the last c that fits.
-    With fewer than 1 / share contributors no cap fits; then each keeps as many as the smallest of them has.
+    ``owners[i]`` contributors have ``counts[i]`` records each. A cap c leaves T(c) = sum of min(count, c) records, and fits if
+    min(c, greatest count) <= share * T(c). As T(c) / c falls with c, the caps that fit are those up to a level, which is found by
+    halving over the sorted counts with their running sums. Further limits go in as constraints on the same level: ``total``, if given,
+    takes the place of T(c) (a share of a fixed number of records), and ``most`` is a greatest count. With fewer than 1 / share
+    contributors no cap above 0 fits: the level is 0.
     """
     if not len(counts):
         return 0
     order = np.argsort(counts)
-    counts, owners = counts[order].astype(float), owners[order].astype(float)
-    rows, left = np.cumsum(counts * owners), np.cumsum(owners[::-1])[::-1]
-    if counts[-1] <= share * rows[-1] + 1e-9:
-        return int(counts[-1])
-    best = 0
-    for k in range(len(counts)):  # the cap lies between counts[k - 1] and counts[k]: the rows below stay, `left` contributors have c each
-        below = rows[k - 1] if k else 0.0
-        low, high = (counts[k - 1] if k else 0.0), counts[k]
-        room = 1 - share * left[k]
-        top = high if room <= 0 else min(high, math.floor(share * below / room + 1e-9))
-        if top > low or (k and top == low):
-            best = max(best, int(top))
-        if top < high:
-            break
-    return best or int(counts[0])
+    counts, owners = np.asarray(counts)[order].astype(np.int64), np.asarray(owners)[order].astype(np.int64)
+    rows, behind = np.r_[0, np.cumsum(counts * owners)], np.r_[np.cumsum(owners[::-1])[::-1], 0]
+
+    def fits(cap: int) -> bool:
+        below = np.searchsorted(counts, cap, side="right")
+        kept = int(rows[below]) + cap * int(behind[below])
+        return cap <= share * (kept if total is None else total) + 1e-9
+
+    low, high = 0, int(counts[-1]) if most is None else max(0, min(int(counts[-1]), most))
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if fits(middle) else (low, middle - 1)
+    return low
 
 
 def _cap(counts: DataFrame, share: float | None, most: int | None, basis: str) -> int:
-    bins = counts.groupBy("n").agg(F.count("*").alias("owners")).toPandas()
-    total = int((bins.n * bins.owners).sum())
-    caps = [most] if most is not None else []
-    if share is not None:
-        caps.append(math.floor(share * total + 1e-9) if basis == "input" else water_level(bins.n.to_numpy(), bins.owners.to_numpy(), share))
-    return min(caps) if caps else total
+    bins = counts.groupBy("n").agg(F.count("*").alias("owners")).toPandas()  # one row for each distinct count
+    total = int((bins.n * bins.owners).sum()) if basis == "input" else None
+    return water_level(bins.n.to_numpy(), bins.owners.to_numpy(), math.inf if share is None else share, most, total)
 
 
 def normal_owner(column: str | Column) -> Column:
@@ -61,7 +58,8 @@ def capped(df: DataFrame, id_col: str, owner_col: str, score_col: str, share: fl
     """``id, owner, score, place, kept``: every record taking part and whether it stays.
 
     Each owner keeps at most ``share`` of all records taking part (``basis`` "input", rounded down) or of all kept records
-    ("output", by water-filling), and at most ``most``. The best scores stay; null and NaN lie below every number; equal scores go by smaller
+    ("output"), and at most ``most``; all three go into one water level. Where no cap fits (fewer than 1 / share owners with basis
+    "output", or a share of less than one record) nothing is kept, and every row says so. The best scores stay; null and NaN lie below every number; equal scores go by smaller
     id. Rows with a null id or owner take no part; an owner of white space only is the owner "". Repeated rows of one id count
     once (of differing ones the greatest score).
     """

@@ -67,6 +67,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_selection(spark, sf_dir).where("not kept").select("id")
 
 
+def p6_water(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No book has more than a tenth of what is kept."""
+    return capping.capped(table(spark, sf_dir, "factory_passages"), "id", "book_id", "score", share=0.1, basis="output")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.encode(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "ids")
 
@@ -83,7 +88,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = (p1_found, p1_terms, p2_found, p2_canonical, p3_found, p3_shared, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_selection, p7_ids, p8_found, p8_spans, p9_found)
+QUERIES = (p1_found, p1_terms, p2_found, p2_canonical, p3_found, p3_shared, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_selection, p6_water, p7_ids, p8_found, p8_spans, p9_found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -121,6 +126,17 @@ select id, owner, score, row_number() over (partition by owner order by score de
   row_number() over (partition by owner order by score desc nulls last, id) <= cap as kept from r, n
 """
 
+_WATER = r"""
+with r as (select id, max(score) as score, lower(regexp_replace(max(book_id), '^\s+|\s+$', '', 'g')) as owner from factory_passages
+  where book_id is not null group by id),
+n as (select owner, count(*) as n from r group by owner),
+c as (select unnest(range(1, (select max(n) from n) + 1)) as cap),
+k as (select cap, sum(least(n, cap)) as kept from c, n group by cap),
+w as (select coalesce(max(cap), 0) as cap from k where cap <= 0.1 * kept)
+select id, owner, score, row_number() over (partition by owner order by score desc nulls last, id) as place,
+  row_number() over (partition by owner order by score desc nulls last, id) <= cap as kept from r, w
+"""
+
 _LEAKS = r"""
 with d as (select doc_id, lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) as t from documents),
 e as (select item_id, lower(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g')) as t from eval_items),
@@ -138,5 +154,6 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": _PIECES,
         "p6_selection": _CAPPED,
         "p6_found": f"select id from ({_CAPPED}) where not kept",
+        "p6_water": _WATER,
         "p8_found": _LEAKS,
     }

@@ -44,9 +44,14 @@ def test_share_of_the_output(spark):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.integers(1, 40), min_size=1, max_size=12), st.sampled_from([0.05, 0.1, 0.25, 0.34, 0.5, 0.9, 1.0]))
-def test_water_level_is_the_last_that_fits(counts, share):
-    fits = [c for c in range(1, max(counts) + 1) if min(c, max(counts)) <= share * sum(min(n, c) for n in counts) + 1e-9]
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=12), st.sampled_from([0.05, 0.1, 0.25, 0.34, 0.5, 0.9, 1.0]), st.sampled_from([None, 1, 7]), st.booleans())
+def test_water_level_is_the_last_that_fits(counts, share, most, fixed):
+    base = lambda c: sum(counts) if fixed else sum(min(n, c) for n in counts)
+    fits = [c for c in range(1, min(max(counts), most or 99) + 1) if c <= share * base(c) + 1e-9]
     values, owners = np.unique(counts, return_counts=True)
-    level = capping.water_level(values, owners, share)
-    assert level == (max(fits) if fits else min(counts))
+    assert capping.water_level(values, owners, share, most, sum(counts) if fixed else None) == max(fits, default=0)
+
+
+def test_a_share_that_too_few_owners_can_keep_leaves_nothing(spark):
+    found = capped(spark, [("a", "x", 1.0), ("b", "y", 2.0), ("c", "z", 3.0)], share=0.02, basis="output")
+    assert len(found) == 3 and not any(r.kept for r in found.values())
