@@ -2,9 +2,13 @@
 
 Fixed-block anchors. A span of at least ``span`` code points contains, in each record that holds it, a whole aligned block of
 ``span // 2`` of them. So the non-overlapping blocks of every record are indexed, every rolling window of that length probes the
-index, and the hits are extended: each ``span``-long window around a hit is named by a 128-bit key, and keys met in more than one
-group are true repeats, whose runs are the maximal ones. Probes travel packed (numpy arrays in a few binary rows), never as one row each, and
-no pairs are formed before a whole span is known to be shared.
+index, and the hits are extended: the ``span``-long windows around a hit are compared by their characters, and those met in more
+than one group are true repeats, whose runs are the maximal ones.
+
+Records are dealt out evenly to slots by their ids. A slot sends each of its distinct block hashes once for each group at most two
+of which matter, packed as numpy arrays; the index answers with the hashes that are hits, slot by slot; only around these are
+windows made. So a text or window that stands in a third of all records is sent once by each slot, is never gathered in one task,
+and no pairs are formed before a whole span is known to be shared.
 """
 
 from __future__ import annotations
@@ -13,19 +17,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstrata.session import checkpointed, shuffle_width
 
-from .codepoints import flatten, rows_of
+from .codepoints import decode, flatten, rows_of
 
 _FLUSH = 1 << 21  # windows held before they are handed on; bounds a task's memory
-#: Bytes of input whose windows make one bucket, which is sorted in memory: about 100 MB of windows.
-BUCKET_INPUT = 32 << 20
-#: Odd multipliers of the rolling hashes.
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Bytes of input whose windows make one part of the index, which is sorted in memory: about 30 MB of windows.
+PART_INPUT = 8 << 20
+_SLOTS = 4  # slots in a partition of records: smaller groups, and partitions of even size
+#: Odd multiplier of the rolling hash.
+_M1 = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mixed(points: np.ndarray, multiplier: np.uint64) -> np.ndarray:
@@ -56,121 +60,163 @@ def rolling(points: np.ndarray, width: int, multiplier: np.uint64 = _M1) -> np.n
     return result ^ (result >> np.uint64(30))
 
 
-def _windows(column, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all windows within one row: hash, row, start; and the offsets of the rows."""
-    points, offsets = flatten(column)
-    hashes, rows = rolling(points, width), rows_of(offsets)
-    inside = rows[: len(hashes)] == rows[width - 1 :][: len(hashes)] if len(hashes) else np.zeros(0, bool)
-    at = np.flatnonzero(inside)
-    return hashes[at], rows[at], at - offsets[rows[at]], offsets
+def _inside(rows: np.ndarray, width: int) -> np.ndarray:
+    """Which windows of ``width`` lie within one row."""
+    count = len(rows) - width + 1
+    return rows[:count] == rows[width - 1 :] if count > 0 else np.zeros(0, bool)
 
 
-def _buckets(df: DataFrame) -> int:
-    """Parts of the hash range: as many as shuffle partitions, and more if the input's known size would make one larger than a task should hold."""
+def _parts(df: DataFrame) -> int:
+    """Parts of the index: as many as shuffle partitions, and more if the input's known size would make one larger than a task should hold."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(shuffle_width(df.sparkSession), size // BUCKET_INPUT if size < 1 << 55 else 0)
+    return max(shuffle_width(df.sparkSession), size // PART_INPUT if size < 1 << 55 else 0)
+
+
+def packed_hashes(hashes: np.ndarray, groups: np.ndarray) -> bytes:
+    """Hashes with their groups, these as numbers into the list of the distinct ones."""
+    names, code = np.unique(groups, return_inverse=True)
+    width = 1 if len(names) <= 1 << 8 else 2 if len(names) <= 1 << 16 else 4
+    sizes = np.array([len(hashes), len(names), width], np.int64)
+    return sizes.tobytes() + hashes.tobytes() + names.tobytes() + code.astype(f"<u{width}").tobytes()
 
 
-def _probes(block: int, buckets: int):
-    """Packs hash, record key and group key of every window; the hash's lowest bit tells an indexed block from a mere probe."""
+def unpacked_hashes(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, k, width = np.frombuffer(body, "<i8", 3).tolist()
+    names = np.frombuffer(body, "<i8", k, 24 + 8 * n)
+    return np.frombuffer(body, "<u8", n, 24), names[np.frombuffer(body, f"<u{width}", n, 24 + 8 * (n + k))]
+
+
+def _distinct(hashes: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each hash (without its lowest bit, which is set if any of its has it) the least and the greatest group."""
+    plain, block = hashes >> np.uint64(1), hashes & np.uint64(1)
+    order = np.lexsort((groups, plain))
+    plain, groups, block = plain[order], groups[order], block[order]
+    starts = np.flatnonzero(np.r_[True, plain[1:] != plain[:-1]])
+    ends = np.r_[starts[1:], len(plain)] - 1
+    marked = (plain[starts] << np.uint64(1)) | np.maximum.reduceat(block, starts)
+    more = groups[starts] != groups[ends]
+    return np.r_[marked, marked[more]], np.r_[groups[starts], groups[ends][more]]
+
+
+def _probes(block: int, parts: int):
+    """Packs the distinct window hashes of a slot for each part of the index; the lowest bit tells an indexed block from a mere probe."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, count = [], 0
-        seen: set[tuple[int, int]] = set()  # copies of one text in one group probe once
-
-        def flush():
-            hashes, refs, groups = (np.concatenate(x) for x in zip(*held))
-            bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket.astype(np.uint16 if buckets < 65536 else np.int32), kind="stable")
-            bucket, hashes, refs, groups = bucket[order], hashes[order], refs[order], groups[order]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            ends = np.r_[starts[1:], len(bucket)]
-            bodies = [hashes[a:b].tobytes() + refs[a:b].tobytes() + groups[a:b].tobytes() for a, b in zip(starts, ends)]
-            return pa.record_batch([pa.array(bucket[starts]), pa.array(bodies, pa.binary())], names=["bucket", "body"])
+        held: dict[int, list] = {}
+        count = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for slot, pieces in held.items():
+                hashes, groups = _distinct(*(np.concatenate(x) for x in zip(*pieces)))
+                part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+                order = np.argsort(part, kind="stable")
+                part, hashes, groups = part[order], hashes[order], groups[order]
+                starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                bodies = [packed_hashes(hashes[a:b], groups[a:b]) for a, b in zip(starts, np.r_[starts[1:], len(part)])]
+                yield pa.record_batch([pa.array(part[starts]), pa.array(np.full(len(starts), slot, np.int32)), pa.array(bodies, pa.binary())], names=["part", "slot", "body"])
 
         for batch in batches:
-            hashes, rows, start, _ = _windows(batch.column(0), block)
-            marked = (hashes & ~np.uint64(1)) | (start % block == 0).astype(np.uint64)
-            refs, groups = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
-            fresh = np.array([pair not in seen and not seen.add(pair) for pair in zip(refs.tolist(), groups.tolist())], bool)
-            kept = fresh[rows]
-            held.append((marked[kept], refs[rows[kept]], groups[rows[kept]]))
-            count += int(kept.sum())
+            slots, names = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            points, offsets = flatten(batch.column(2))
+            rows = rows_of(offsets)
+            at = np.flatnonzero(_inside(rows, block))
+            marked = (rolling(points, block)[at] & ~np.uint64(1)) | ((at - offsets[rows[at]]) % block == 0).astype(np.uint64)
+            for slot in np.unique(slots).tolist():
+                mine = slots[rows[at]] == slot
+                if mine.any():
+                    held.setdefault(slot, []).append((marked[mine], names[rows[at][mine]]))
+            count += len(at)
             if count >= _FLUSH:
-                yield flush()
-                held, count = [], 0
-                seen.clear()
-        if count:
-            yield flush()
+                yield from flush()
+                held.clear()
+                count = 0
+        yield from flush()
 
     return pack
 
 
-def _hits(table: pa.Table) -> pa.Table:
-    """Of one bucket: the (record, window hash) of windows that stand in more than one group and are somewhere an indexed block."""
-    parts = []
-    for body in table.column("body").to_pylist():
-        n = len(body) // 24
-        parts.append((np.frombuffer(body, "<u8", n), np.frombuffer(body, "<i8", n, 8 * n), np.frombuffer(body, "<i8", n, 16 * n)))
-    hashes, refs, groups = (np.concatenate(x) for x in zip(*parts))
-    plain = hashes >> np.uint64(1)
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One part of the index: to each slot those of its hashes that stand in more than one group and are somewhere an indexed block."""
+    slots, hashes, groups = [], [], []
+    for batch in batches:
+        for slot, body in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            own, names = unpacked_hashes(body)
+            slots.append(np.full(len(own), slot, np.int32))
+            hashes.append(own)
+            groups.append(names)
+    if not slots:
+        return
+    slot, marked, group = np.concatenate(slots), np.concatenate(hashes), np.concatenate(groups)
+    plain = marked >> np.uint64(1)
     order = np.argsort(plain, kind="stable")
-    plain, refs, groups, blocks = plain[order], refs[order], groups[order], (hashes[order] & np.uint64(1)).astype(np.int8)
+    plain, slot, group, block = plain[order], slot[order], group[order], (marked[order] & np.uint64(1)).astype(np.int8)
     starts = np.flatnonzero(np.r_[True, plain[1:] != plain[:-1]])
-    sizes = np.diff(np.r_[starts, len(plain)])
-    good = (np.maximum.reduceat(blocks, starts) > 0) & (np.minimum.reduceat(groups, starts) < np.maximum.reduceat(groups, starts))
-    keep = np.repeat(good, sizes)
-    refs, plain = refs[keep], plain[keep]
-    order = np.lexsort((plain, refs))
-    refs, plain = refs[order], plain[order]
-    fresh = np.r_[True, (refs[1:] != refs[:-1]) | (plain[1:] != plain[:-1])][: len(refs)]
-    return pa.table({"ref": pa.array(refs[fresh]), "hash": pa.array(plain[fresh].astype(np.int64))})
+    good = (np.maximum.reduceat(block, starts) > 0) & (np.minimum.reduceat(group, starts) < np.maximum.reduceat(group, starts))
+    keep = np.repeat(good, np.diff(np.r_[starts, len(plain)]))
+    slot, plain = slot[keep], plain[keep]
+    order = np.argsort(slot, kind="stable")
+    slot, plain = slot[order], plain[order]
+    starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]]) if len(slot) else np.zeros(0, np.int64)
+    bodies = [np.unique(plain[a:b]).tobytes() for a, b in zip(starts, np.r_[starts[1:], len(slot)])]
+    yield pa.record_batch([pa.array(slot[starts]), pa.array(bodies, pa.binary())], names=["slot", "hits"])
 
 
-def _around(block: int, span: int):
-    """The span-long windows that hold an anchor, with their 128-bit keys."""
+_LAYOUT = pa.schema([("id", pa.string()), ("grp", pa.string()), ("start", pa.int32()), ("key", pa.string())])
 
-    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            points, offsets = flatten(batch.column(2))
-            rows = rows_of(offsets)
-            small = rolling(points, block) >> np.uint64(1)
-            anchors = batch.column(3)
-            owner = np.repeat(np.arange(batch.num_rows), pc.list_value_length(anchors).to_numpy(zero_copy_only=False))
-            wanted = np.sort(pc.list_flatten(anchors).to_numpy(zero_copy_only=False).astype(np.uint64) ^ (owner.astype(np.uint64) * _M2))
-            own = small ^ (rows[: len(small)].astype(np.uint64) * _M2)  # a chance hit only widens what is compared exactly below
-            at = np.minimum(np.searchsorted(wanted, own), max(0, len(wanted) - 1))
-            hit = np.flatnonzero(wanted[at] == own) if len(own) and len(wanted) else np.zeros(0, np.int64)
-            steps = np.zeros(len(points) + 1, np.int32)  # which starts lie at most span - block before a hit
-            np.add.at(steps, np.maximum(hit - (span - block), 0), 1)
-            np.add.at(steps, hit + 1, -1)
-            first, second = rolling(points, span, _M1), rolling(points, span, _M2)
-            inside = (np.cumsum(steps)[: len(first)] > 0) & (rows[: len(first)] == rows[span - 1 :][: len(first)]) if len(first) else np.zeros(0, bool)
-            starts = np.flatnonzero(inside)
-            yield pa.record_batch(
-                [batch.column(0).take(pa.array(rows[starts])), batch.column(1).take(pa.array(rows[starts])), pa.array((starts - offsets[rows[starts]]).astype(np.int32)), pa.array(first[starts].astype(np.int64)), pa.array(second[starts].astype(np.int64))],
-                names=["id", "grp", "start", "k1", "k2"],
-            )
+
+def _around(block: int, span: int):
+    """Of one slot: the span-long windows that hold a hit, with their characters."""
+
+    def widen(records: pa.Table, answers: pa.Table) -> pa.Table:
+        bodies = answers.column("hits").to_pylist()
+        if not bodies:
+            return _LAYOUT.empty_table()
+        wanted = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in bodies]))
+        sizes = np.cumsum(records.column("size").to_numpy())
+        cuts = [0, *np.searchsorted(sizes, np.arange(_FLUSH, sizes[-1], _FLUSH)).tolist(), len(sizes)] if len(sizes) else [0]
+        out = [found(records.slice(a, b - a), wanted) for a, b in zip(cuts, cuts[1:]) if b > a]
+        return pa.concat_tables(out) if out else _LAYOUT.empty_table()
+
+    def found(records: pa.Table, wanted: np.ndarray) -> pa.Table:
+        points, offsets = flatten(records.column("text"))
+        rows = rows_of(offsets)
+        hashes = rolling(points, block) >> np.uint64(1)
+        at = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
+        hit = np.flatnonzero((wanted[at] == hashes) & _inside(rows, block))
+        steps = np.zeros(len(points) + 1, np.int32)  # which starts lie at most span - block before a hit
+        np.add.at(steps, np.maximum(hit - (span - block), 0), 1)
+        np.add.at(steps, hit + 1, -1)
+        inside = _inside(rows, span)
+        starts = np.flatnonzero(inside & (np.cumsum(steps)[: len(inside)] > 0))
+        text = decode(points)
+        owner = pa.array(rows[starts])
+        return pa.table([records.column("id").take(owner), records.column("grp").take(owner), pa.array((starts - offsets[rows[starts]]).astype(np.int32)), pa.array([text[a : a + span] for a in starts.tolist()], pa.string())], schema=_LAYOUT)
 
     return widen
 
 
+def _candidates(df: DataFrame, id_col: str, group_col: str, text_col: str, span: int) -> DataFrame:
+    """``id, grp, start, key``, written: every window of ``span`` code points that may stand in another group as well; key is its text."""
+    block, parts = span // 2, _parts(df)
+    text = F.col(text_col)
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(group_col).cast("string").alias("grp"), text.alias("text")).where((F.char_length(text) >= span) & F.col("id").isNotNull() & F.col("grp").isNotNull())
+    slot = F.pmod(F.xxhash64("id"), F.lit(_SLOTS * parts)).cast("int")
+    once = rows.withColumn("slot", slot).repartition(parts, "slot").groupBy("slot", "id").agg(F.max(F.struct("text", "grp")).alias("r"))
+    records = once.select("slot", F.xxhash64("r.grp").alias("name"), "r.text", "id", "r.grp", F.char_length("r.text").alias("size"))
+    index = records.mapInArrow(_probes(block, parts), "part int, slot int, body binary").repartitionById(parts, F.col("part"))
+    hits = index.mapInArrow(_answers, "slot int, hits binary")
+    return checkpointed(records.groupBy("slot").cogroup(hits.groupBy("slot")).applyInArrow(_around(block, span), "id string, grp string, start int, key string"))
+
+
 def shared_windows(df: DataFrame, id_col: str, group_col: str, text_col: str, span: int = 24) -> DataFrame:
-    """``id, grp, start, k1, k2``: every window of ``span`` code points that also stands, exactly, in a record of another group.
+    """``id, grp, start, key``: every window of ``span`` code points that also stands, character for character, in a record of another group.
 
-    Rows with a null id, group or text, and texts shorter than ``span``, have none. Repeated rows of one id count once.
+    Rows with a null id, group or text, and texts shorter than ``span``, have none. Repeated rows of one id count once (of
+    differing ones the greatest).
     """
-    block = span // 2
-    width = _buckets(df)
-    rows = df.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), F.col(text_col).alias("text")).where((F.char_length("text") >= span) & F.col("id").isNotNull() & F.col("grp").isNotNull())
-    rows = rows.withColumn("ref", F.xxhash64("text"))
-    packed = rows.select("text", "ref", F.xxhash64("grp").alias("group")).mapInArrow(_probes(block, width), "bucket int, body binary")
-    hits = packed.groupBy("bucket").applyInArrow(_hits, "ref bigint, hash bigint")
-    anchors = hits.groupBy("ref").agg(F.collect_set("hash").alias("anchors"))  # at most one for each window of one text
-    candidates = rows.join(anchors, "ref").dropDuplicates(["id"]).select("id", "grp", "text", "anchors")
-    windows = checkpointed(candidates.mapInArrow(_around(block, span), "id string, grp string, start int, k1 bigint, k2 bigint"))
-    shared = windows.groupBy("k1", "k2").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("k1", "k2")
-    return windows.join(shared, ["k1", "k2"], "left_semi").select("id", "grp", "start", "k1", "k2")
+    windows = _candidates(df, id_col, group_col, text_col, span)
+    shared = windows.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi")).where("lo < hi").select("key")
+    return windows.join(shared, "key", "left_semi").select("id", "grp", "start", "key")
 
 
 def shared_spans(df: DataFrame, id_col: str, group_col: str, text_col: str, span: int = 24) -> DataFrame:
@@ -189,15 +235,18 @@ def shared_pairs(df: DataFrame, id_col: str, group_col: str, text_col: str, span
     """``id_a, id_b`` (id_a < id_b) of records of different groups that share a stretch of at least ``span`` code points.
 
     Only the first window of a maximal stretch forms pairs: a window is passed over if the one before it, in the same record, has
-    the very same partners one place earlier.
+    the very same partners one place earlier (as many, and two 64-bit marks of the set alike).
     """
-    windows = checkpointed(shared_windows(df, id_col, group_col, text_col, span))
-    own = F.xxhash64("id", "start").cast("decimal(20,0)")
-    before = F.xxhash64("id", F.col("start") - 1).cast("decimal(20,0)")
-    groups = windows.groupBy("k1", "k2").agg(F.sum(own).alias("here"), F.sum(before).alias("shifted"), F.count("*").alias("n"))
+    windows = _candidates(df, id_col, group_col, text_col, span)
+    marks = lambda start: (F.bit_xor(F.xxhash64("id", start)), F.bit_xor(F.xxhash64(start, F.lit("second"), "id")))
+    (here1, here2), (before1, before2) = marks(F.col("start")), marks(F.col("start") - 1)
+    groups = windows.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.struct(F.count("*"), here1, here2).alias("here"), F.struct(F.count("*"), before1, before2).alias("before")).where("lo < hi")
     line = Window.partitionBy("id").orderBy("start")
-    last = lambda c: F.lag(c).over(line)
-    led = windows.join(groups, ["k1", "k2"]).select("*", last("start").alias("s0"), last("here").alias("h0"), last("n").alias("n0"))
-    heads = led.where("not (s0 is not null and s0 = start - 1 and h0 = shifted and n0 = n)").select("k1", "k2", "id", "grp")
-    a, b = heads.select("k1", "k2", F.col("id").alias("id_a"), F.col("grp").alias("grp_a")), heads.select("k1", "k2", F.col("id").alias("id_b"), F.col("grp").alias("grp_b"))
-    return a.join(b, ["k1", "k2"]).where("id_a < id_b and grp_a <> grp_b").select("id_a", "id_b").distinct()
+    led = windows.join(groups.select("key", "here", "before"), "key").select("*", F.lag("start").over(line).alias("s0"), F.lag("here").over(line).alias("h0"))
+    heads = led.where("not (s0 is not null and s0 = start - 1 and h0 = before)").select("key", "id", "grp")
+    # Group by group, so that records of one group, however many share a window, are never set against each other.
+    named = heads.select("key", "grp").distinct()
+    met = named.withColumnRenamed("grp", "grp_a").join(named.withColumnRenamed("grp", "grp_b"), "key").where("grp_a < grp_b")
+    a, b = heads.withColumnsRenamed({"id": "a", "grp": "grp_a"}), heads.withColumnsRenamed({"id": "b", "grp": "grp_b"})
+    pairs = met.join(a, ["key", "grp_a"]).join(b, ["key", "grp_b"])
+    return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()

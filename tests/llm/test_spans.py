@@ -4,11 +4,11 @@ import numpy as np
 
 from inkstrata.llm import spans
 
-SCHEMA = "id string, book_id string, normalized_text string, k1 long, grp string"
+SCHEMA = "id string, book_id string, normalized_text string, key string, grp string"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, "k", "x") for r in rows], SCHEMA)
 
 
 def pairs(spark, rows, span=24):
@@ -75,3 +75,19 @@ def test_rolling_hash_is_that_of_the_window():
         assert len(whole) == 500 - width + 1
         assert all(whole[i] == spans.rolling(points[i : i + width], width)[0] for i in (0, 7, 500 - width))
     assert len(spans.rolling(points[:3], 4)) == 0
+
+
+def test_one_window_in_a_hundred_thousand_texts(spark):
+    window = "天地玄黄宇宙洪荒日月盈昃辰宿列张寒来暑往秋收冬藏"[:24]
+    df = spark.range(100_000).selectExpr("cast(id as string) id", "if(id % 50000 = 7, 'y', 'x') book_id", f"concat(md5(cast(id as string)), '{window}', md5(cast(-id as string))) normalized_text")
+    found = spans.shared_pairs(df, "id", "book_id", "normalized_text")
+    assert found.count() == 99_998 * 2
+    assert spans.shared_windows(df, "id", "book_id", "normalized_text").where(f"key = '{window}'").count() == 100_000
+
+
+def test_packed_hashes_come_back():
+    rng = np.random.default_rng(2)
+    for groups in (3, 1000, 70_000):
+        hashes, names = rng.integers(0, 1 << 63, 200_000).astype(np.uint64), rng.integers(-(1 << 62), 1 << 62, groups)[rng.integers(0, groups, 200_000)]
+        back = spans.unpacked_hashes(spans.packed_hashes(hashes, names))
+        assert (back[0] == hashes).all() and (back[1] == names).all()
