@@ -1,9 +1,10 @@
 """One form for texts that look the same in print but are stored in different characters.
 
-Tokens (words; single ideographs) are matched against a trie of the corpus's vocabulary by a weighted edit automaton in which
-exchanging look-alikes and dropping or adding invisible characters cost nothing. A token takes the canonical spelling, the most
-frequent one, of the vocabulary entry it reaches without cost (entries are free of widths, invisible characters and the like); tokens that reach none, and all separators, are normalised by table.
-Both depend only on how a token looks, so texts that look alike come out equal.
+Tokens (words; single ideographs) as they are stored run through a trie of the corpus's vocabulary under a weighted edit automaton:
+exchanging look-alikes and passing over invisible characters cost nothing, any other edit costs 1, and the automaton's states are all
+trie nodes reached so far with their costs. A token takes the canonical spelling, the most frequent one, of those it reaches without
+cost (entries are free of widths, invisible characters and the like); tokens that reach none, and all separators, are normalised by
+table. Which entries are reached depends only on how a token looks, so texts that look alike come out equal.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkstrata.session import checkpointed
+
 from .codepoints import decode, flatten, rows_of
 
 #: Letters that look like a Latin one, each before the letter it looks like.
@@ -162,51 +165,98 @@ def _classes() -> tuple[re.Pattern, dict[int, list[int]], list[int]]:
     return re.compile(f"[{ranges(word)}][{ranges(word)}{marks}]*|[{ranges(list(han))}]"), groups, word
 
 
+def symbols(token: str) -> list[str]:
+    """A token's stored characters, decomposed; each looks like one character or like nothing (see ``look_of``).
+
+    Characters that look like several are replaced by these. Where exchanged letters would put accents in another order, all are.
+    """
+    stored = unicodedata.normalize("NFD", token)
+    look = stored.translate(table())
+    ordered = unicodedata.normalize("NFD", look)
+    if ordered != look:
+        return list(ordered)
+    return [part for char in stored for part in (look_of(char) if len(look_of(char)) > 1 else char)]
+
+
+def look_of(char: str) -> str:
+    """What a character looks like; nothing for an invisible one."""
+    return table().get(ord(char), char)
+
+
+class Node:
+    """A place in the trie: its children by their characters and by what these look like, and the spelling that ends here."""
+
+    __slots__ = ("alike", "children", "entry")
+
+    def __init__(self) -> None:
+        self.children: dict[str, Node] = {}
+        self.alike: dict[str, list[Node]] = {}
+        self.entry: tuple[str, int] | None = None
+
+    def child(self, char: str) -> Node:
+        if (node := self.children.get(char)) is None:
+            node = self.children[char] = Node()
+            self.alike.setdefault(look_of(char), []).append(node)
+        return node
+
+
 class Trie:
-    """A vocabulary by look, walked by a weighted edit automaton.
+    """A vocabulary of spellings, walked by a weighted edit automaton.
 
-    An edge carries what its characters look like, so exchanging look-alikes, another composition of accents and invisible
-    characters cost nothing; any other replacement, insertion or deletion costs 1.
+    Edges carry characters as they are spelt. An edge is taken without cost by any character that looks the same, and invisible
+    characters of the token or of an entry are passed over without cost; other replacements, insertions and deletions cost 1.
     """
 
     def __init__(self) -> None:
-        self.root: dict = {}
+        self.root = Node()
 
     def add(self, word: str, weight: int) -> None:
-        """Of spellings that look alike the one with the greatest weight (of equal ones the smallest) stays."""
+        """Of entries with the same characters the one with the greatest weight (of equal ones the smallest) stays."""
         node = self.root
-        for char in skeleton(word):
-            node = node.setdefault(char, {})
-        best = node.get("")
-        if best is None or (-weight, word) < (-best[1], best[0]):
-            node[""] = (word, weight)
+        for char in symbols(word):
+            node = node.child(char)
+        if node.entry is None or (-weight, word) < (-node.entry[1], node.entry[0]):
+            node.entry = (word, weight)
+
+    @staticmethod
+    def _settled(states: dict[Node, int], most: int) -> dict[Node, int]:
+        """The states with all that are reached by inserting characters of an entry."""
+        queue = list(states)
+        while queue:
+            node = queue.pop()
+            cost = states[node]
+            for children, price in ((node.alike.get("", ()), cost), (node.children.values() if cost < most else (), cost + 1)):
+                for child in children:
+                    if states.get(child, most + 1) > price:
+                        states[child] = price
+                        queue.append(child)
+        return states
 
     def match(self, token: str, most: int = 0) -> tuple[str, int] | None:
-        """The canonical spelling at the least cost up to ``most``, and that cost; of equal ones the most frequent."""
-        look = skeleton(token)
-        if most == 0:  # the automaton has one state then
-            node = self.root
-            for char in look:
-                if (node := node.get(char)) is None:
-                    return None
-            return (node[""][0], 0) if "" in node else None
-        best: tuple[int, int, str] | None = None
-        stack = [(self.root, tuple(range(len(look) + 1)))]
-        while stack:
-            node, row = stack.pop()
-            if "" in node and row[-1] <= most:
-                word, weight = node[""]
-                if best is None or (row[-1], -weight, word) < best:
-                    best = (row[-1], -weight, word)
-            for char, child in node.items():
-                if char == "":
-                    continue
-                states = [row[0] + 1]
-                for i, own in enumerate(look, 1):
-                    states.append(min(row[i - 1] + (own != char), row[i] + 1, states[i - 1] + 1))
-                if min(states) <= most:
-                    stack.append((child, tuple(states)))
-        return None if best is None else (best[2], best[0])
+        """The canonical spelling at the least cost up to ``most``, and that cost; of equal ones the most frequent, then the smallest."""
+        states = self._settled({self.root: 0}, most)
+        for char in symbols(token):
+            look, reached = look_of(char), {}
+
+            def reach(node: Node, cost: int) -> None:
+                if cost <= most and reached.get(node, most + 1) > cost:  # noqa: B023
+                    reached[node] = cost  # noqa: B023
+
+            for node, cost in states.items():
+                for child in node.alike.get(look, ()):
+                    reach(child, cost)
+                reach(node, cost + (look != ""))
+                if cost < most:
+                    for child in node.children.values():
+                        reach(child, cost + 1)
+            states = self._settled(reached, most)
+            if not states:
+                return None
+        ends = [(cost, -node.entry[1], node.entry[0]) for node, cost in states.items() if node.entry]
+        if not ends:
+            return None
+        cost, _, word = min(ends)
+        return word, cost
 
 
 class Canon:
@@ -277,19 +327,22 @@ def _word_pattern() -> re.Pattern:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tokens with look-alikes and how often they occur in a task's texts."""
+    """Tokens with look-alikes and how often they occur in a task's texts; only rows with letters or digits are looked at one by one."""
     counts: Counter[str] = Counter()
     words = _word_pattern()
-    single = np.zeros(0x110000, bool)
+    single, lettered = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
     for members in _classes()[1].values():
         single[members] = True
+    lettered[_classes()[2]] = True
     characters = np.zeros(0x110000, np.int64)
     for batch in batches:
         for column in batch.columns:
-            texts = [t for t in column.to_pylist() if t]
-            joined = "\n".join(texts)
-            counts.update(w for w in words.findall(joined) if len(w) <= LONGEST)
-            characters += np.bincount(np.frombuffer(joined.encode("utf-32-le"), np.uint32), minlength=0x110000)
+            points, offsets = flatten(column)
+            found = np.bincount(points) if len(points) else np.zeros(0, np.int64)
+            characters[: len(found)] += found
+            rows = np.unique(rows_of(offsets)[lettered[points]])
+            texts = column.take(pa.array(rows)).to_pylist()
+            counts.update(w for w in words.findall("\n".join(texts)) if len(w) <= LONGEST)
         if len(counts) > 500_000:
             yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["token", "n"])
             counts.clear()
@@ -334,18 +387,36 @@ def canonical(df: DataFrame, keep: list[str], columns: list[str], size: int = VO
     return rows.mapInArrow(_forms(shared, len(keep)), rows.schema)
 
 
+def _forms_of_records(df: DataFrame, id_col: str, look_col: str, other_col: str, size: int) -> DataFrame:
+    """``id, form, stored``, written: a key of a record's look, and one of what is stored in both columns."""
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(look_col).alias("look"), F.col(other_col).alias("other")).where("id is not null and look is not null")
+    marked = rows.withColumn("stored", F.md5(F.concat_ws("\0", F.coalesce(F.char_length("other"), F.lit(-1)).cast("string"), F.coalesce("other", F.lit("")), "look")))
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(df, [look_col, other_col], size))
+    formed = marked.select("id", "stored", F.col("look").alias("form")).mapInArrow(_forms(shared, 2), "id string, stored string, form string")
+    keyed = formed.select("id", F.struct(F.md5("form").alias("form"), "stored").alias("k")).groupBy("id").agg(F.max("k").alias("k"))
+    return checkpointed(keyed.select("id", "k.form", "k.stored"))
+
+
+def lookalike_classes(df: DataFrame, id_col: str, look_col: str, other_col: str, size: int = VOCABULARY) -> DataFrame:
+    """``id, class_id, members, links`` of every record: its class of equal looks, and how many of that are stored differently.
+
+    class_id is the smallest id of the class. Rows as of ``lookalike_pairs``, whose pairs are counted here and not formed.
+    """
+    keyed = _forms_of_records(df, id_col, look_col, other_col, size)
+    copies = keyed.groupBy("form", "stored").agg(F.count("*").alias("copies"), F.min("id").alias("first"))
+    classes = copies.groupBy("form").agg(F.sum("copies").alias("members"), F.min("first").alias("class_id"))
+    return keyed.join(copies.select("form", "stored", "copies"), ["form", "stored"]).join(classes, "form").select("id", "class_id", "members", (F.col("members") - F.col("copies")).alias("links"))
+
+
 def lookalike_pairs(df: DataFrame, id_col: str, look_col: str, other_col: str, size: int = VOCABULARY) -> DataFrame:
     """``id_a, id_b`` (id_a < id_b) of records whose ``look_col`` looks the same while it or ``other_col`` is stored differently.
 
     Null ids and null ``look_col`` take no part; a null ``other_col`` differs from any text. Repeated rows of one id count once
-    (of differing ones the greatest). Exact copies form no pairs with each other.
+    (of differing ones the greatest). Exact copies form no pairs with each other, and are never set against each other.
     """
-    rows = df.select(F.col(id_col).alias("id"), F.col(look_col).alias("look"), F.col(other_col).alias("other")).where("id is not null and look is not null")
-    marked = rows.withColumn("stored", F.md5(F.concat_ws("\0", F.coalesce(F.char_length("other"), F.lit(-1)).cast("string"), F.coalesce("other", F.lit("")), "look")))
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary(rows, ["look"], size))
-    formed = marked.select("id", "stored", F.col("look").alias("form")).mapInArrow(_forms(shared, 2), "id string, stored string, form string")
-    keyed = formed.select("id", F.struct(F.md5("form").alias("form"), "stored").alias("k")).groupBy("id").agg(F.max("k").alias("k")).select("id", "k.form", "k.stored")
-    mixed = keyed.groupBy("form").agg(F.min("stored").alias("lo"), F.max("stored").alias("hi")).where("lo < hi").select("form")
-    cases = keyed.join(mixed, "form", "left_semi")
-    a, b = cases.withColumnsRenamed({"id": "id_a", "stored": "sa"}), cases.withColumnsRenamed({"id": "id_b", "stored": "sb"})
-    return a.join(b, "form").where("id_a < id_b and sa <> sb").select("id_a", "id_b")
+    keyed = _forms_of_records(df, id_col, look_col, other_col, size)
+    copies = keyed.select("form", "stored").distinct()
+    met = copies.withColumnRenamed("stored", "stored_a").join(copies.withColumnRenamed("stored", "stored_b"), "form").where("stored_a < stored_b")
+    a, b = keyed.withColumnsRenamed({"id": "a", "stored": "stored_a"}), keyed.withColumnsRenamed({"id": "b", "stored": "stored_b"})
+    pairs = met.join(a, ["form", "stored_a"]).join(b, ["form", "stored_b"])
+    return pairs.select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"))

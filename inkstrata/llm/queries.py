@@ -30,6 +30,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.lookalike_pairs(table(spark, sf_dir, "corpus_passages"), "id", "text", "normalized_text")
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.lookalike_classes(table(spark, sf_dir, "corpus_passages"), "id", "text", "normalized_text")
+
+
 def p3_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "corpus_passages"), "id", "book_id", "normalized_text")
 
@@ -88,7 +92,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
 
 
-QUERIES = (p1_found, p1_terms, p2_found, p2_canonical, p3_found, p3_shared, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_selection, p6_water, p7_ids, p8_found, p8_spans, p9_found)
+QUERIES = (p1_found, p1_terms, p2_found, p2_canonical, p2_classes, p3_found, p3_shared, p4_found, p4_ranking, p5_found, p5_pieces, p6_found, p6_selection, p6_water, p7_ids, p8_found, p8_spans, p9_found)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
