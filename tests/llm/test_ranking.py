@@ -1,6 +1,8 @@
 import math
 import random
 
+import pytest
+
 from inkstrata.llm import ranking
 
 SCHEMA = "feedback_id long, left_name string, right_name string, choice string, item string, i string"
@@ -44,10 +46,33 @@ def test_the_ranking_recovers_the_strengths(spark):
 
 
 def test_tables_and_memory_give_the_same(spark):
+    """Strengths after several rounds, and the first system of a thousand items."""
     _, cast, items = noisy(spark, n=6, games=300)
-    local = {r.item: r for r in ranking.rank_items(cast, items, rounds=3).collect()}
-    spread = {r.item: r for r in ranking.rank_items(cast, items, rounds=3, local_edges=0).collect()}
-    assert all(abs(local[x].strength - spread[x].strength) < 1e-5 and local[x].position == spread[x].position for x in local)
+    many = noisy(spark, n=1000, games=12_000)
+    for cast, items, rounds in ((cast, items, 3), (*many[1:], 1)):  # noqa: B020
+        local = {r.item: r for r in ranking.rank_items(cast, items, rounds=rounds).collect()}
+        spread = {r.item: r for r in ranking.rank_items(cast, items, rounds=rounds, local_edges=0).collect()}
+        assert all(abs(local[x].strength - spread[x].strength) < 1e-6 and abs((local[x].residual or 0) - (spread[x].residual or 0)) < 1e-6 for x in local)
+        assert all(local[x].position == spread[x].position for x in local)
+
+
+def test_tables_are_given_back(spark, tmp_path):
+    from inkstrata import session
+
+    _, cast, items = noisy(spark, n=5, games=60)
+    with session.scratch():
+        before = len(session._WRITTEN)
+        assert ranking.rank_items(cast, items, rounds=2, local_edges=0).count() == 5
+        assert len(session._WRITTEN) - before <= 4
+    assert len(session._WRITTEN) <= before
+
+
+def test_comparisons_without_a_cycle_leave_no_residual(spark):
+    items = spark.createDataFrame([(x,) for x in "abcde"], "item string")
+    chain = [("a", "b")] * 3 + [("b", "c")] * 2 + [("c", "b")] + [("b", "d")] * 7 + [("d", "e")]
+    found = ranking.rank_items(spark.createDataFrame(chain, "winner string, loser string"), items).collect()
+    assert all(r.residual < 1e-4 for r in found)
+    assert {r.item: round(r.potential, 3) for r in found}["a"] - {r.item: round(r.potential, 3) for r in found}["b"] == pytest.approx(math.log(3.5 / 0.5), abs=2e-3)
 
 
 def test_cycles_show_in_the_residual(spark):
