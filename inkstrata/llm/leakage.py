@@ -1,8 +1,9 @@
 """Evaluation texts that leak into a corpus.
 
 One Aho-Corasick automaton over the normalised evaluation texts. Of every item the non-overlapping anchors of half the reportable
-length go in (a stretch of that length holds one of them whole); every document is scanned once, and each hit is extended on both
-sides, exactly, to the longest common stretch, whose offsets are mapped back to the original text.
+length go in (a stretch of that length holds one of them whole); every document is read and normalised once, and each hit is extended
+on both sides, exactly, to the longest common stretch, whose offsets are mapped back to the original text. An evaluation set too
+large for one automaton in memory is cut into several, which run one after the other over the same normalised texts.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .codepoints import decode, flatten, folded, rows_of
 
-#: The normalised evaluation texts, which every executor holds, may have that many characters; more than that are scanned in rounds.
+#: Characters of normalised evaluation texts in one automaton, about 200 MB of a worker's memory.
 AUTOMATON_CHARS = 5_000_000
+#: Normalised characters that are held to be scanned by one automaton after the other.
+_HELD = 16 << 20
 
 
 def normalised(text: str) -> str:
@@ -27,7 +30,7 @@ def normalised(text: str) -> str:
     return decode(points[points > 0])
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _automaton(items: tuple[tuple[object, str], ...], anchor: int):
     import ahocorasick
 
@@ -71,48 +74,62 @@ def spans(text: str, items: tuple[tuple[object, str], ...], least: int) -> list[
 
 def _scan(shared, least: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
+        parts = shared.value
+        held, chars = [], 0
         for batch in batches:
             points, offsets = flatten(batch.column(1))
             low = folded()[points]
             kept = np.flatnonzero(low)
             rows = rows_of(offsets)[kept]
-            text = low[kept]
             # All texts of the batch in one string, a zero between any two.
             breaks = np.searchsorted(rows, np.arange(1, batch.num_rows))
-            joined, origin, owner = np.insert(text, breaks, 0), np.insert(kept, breaks, -1), np.insert(rows, breaks, -1)
-            out = [(owner[a], number, origin[a] - offsets[owner[a]], origin[b - 1] + 1 - offsets[owner[a]], b - a) for number, a, b, _ in spans(decode(joined), items, least)]
-            rows_out, numbers, begin, end, chars = (np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
-            yield pa.record_batch(
-                [batch.column(0).take(pa.array(rows_out)), pa.array([items[n][0] for n in numbers], pa.int64()), pa.array(begin), pa.array(end), pa.array(chars)],
-                names=["doc_id", "item_id", "start_at", "end_at", "chars"],
-            )
+            joined, origin, owner = decode(np.insert(low[kept], breaks, 0)), np.insert(kept, breaks, -1), np.insert(rows, breaks, -1)
+            held.append((batch.column(0), offsets, joined, origin, owner))
+            chars += len(joined)
+            if len(parts) == 1 or chars >= _HELD:
+                yield from found(parts, held)
+                held, chars = [], 0
+        yield from found(parts, held)
+
+    def found(parts, held) -> Iterator[pa.RecordBatch]:
+        for items in parts:
+            for ids, offsets, joined, origin, owner in held:
+                out = [(owner[a], number, origin[a] - offsets[owner[a]], origin[b - 1] + 1 - offsets[owner[a]], b - a) for number, a, b, _ in spans(joined, items, least)]
+                rows, numbers, begin, end, size = (np.array(x, np.int64) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 5
+                yield pa.record_batch(
+                    [ids.take(pa.array(rows)), pa.array([items[n][0] for n in numbers], pa.int64()), pa.array(begin), pa.array(end), pa.array(size)],
+                    names=["doc_id", "item_id", "start_at", "end_at", "chars"],
+                )
 
     return scan
 
 
+def _normal(least: int):
+    def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [normalised(t) for t in batch.column(1).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string())], names=["i", "t"]).filter(pa.array([len(t) >= least for t in texts]))
+
+    return normal
+
+
 def leaked(docs: DataFrame, doc_id: str, text_col: str, items: DataFrame, item_id: str, item_text: str, least: int = 40, automaton_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """``doc_id, item_id, start_at, end_at, chars``: every maximal stretch of an item in a document.
 
     Only letters and numbers are compared, in lower case; chars counts them, the offsets are those of the original text. Items of
-    fewer than ``least`` such characters and null texts on either side give nothing. Items are held by every executor; if they have more than
-    ``automaton_chars`` characters together, the documents are scanned once for every that many.
+    fewer than ``least`` such characters and null texts on either side give nothing. The items, the held-out side, are read by the
+    driver and sent to every executor; a worker holds one automaton, of up to ``automaton_chars`` characters, at a time.
     """
-    rounds: list[list[tuple[int, str]]] = [[]]
+    held_out = items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null")
+    parts: list[list[tuple[int, str]]] = [[]]
     size = 0
-    for row in items.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).where("i is not null and t is not null").distinct().orderBy("i", "t").toLocalIterator():
-        text = normalised(row.t)
-        if len(text) < least:
-            continue
-        if size + len(text) > automaton_chars and rounds[-1]:
-            rounds.append([])
+    for row in held_out.mapInArrow(_normal(least), "i bigint, t string").distinct().orderBy("i", "t").toLocalIterator():
+        if size + len(row.t) > automaton_chars and parts[-1]:
+            parts.append([])
             size = 0
-        rounds[-1].append((row.i, text))
-        size += len(text)
+        parts[-1].append((row.i, row.t))
+        size += len(row.t)
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text_col).alias("text")).where(F.char_length("text") >= least)
-    context, result = docs.sparkSession.sparkContext, None
-    for part in rounds:
-        hits = rows.mapInArrow(_scan(context.broadcast(tuple(part)), least), f"doc_id {kind}, item_id bigint, start_at bigint, end_at bigint, chars bigint")
-        result = hits if result is None else result.unionByName(hits)
-    return result
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(map(tuple, parts)))
+    return rows.mapInArrow(_scan(shared, least), f"doc_id {kind}, item_id bigint, start_at bigint, end_at bigint, chars bigint")
