@@ -57,3 +57,11 @@ def test_containers_round_trip_and_unite(sets):
 def test_dense_containers(n):
     packed = terms.pack(np.arange(n))
     assert terms.cardinality(packed) == n and len(packed) <= 8193
+
+
+def test_a_container_holds_records_of_several_tasks(spark):
+    df = spark.createDataFrame([(str(i), "玉") for i in range(400)] * 2, "id string, normalized_text string")
+    parts = terms.term_bitmaps(df, "id", "normalized_text").where("term is not null").collect()
+    assert len(parts) == 4 and {r.container for r in parts} == {0}
+    assert terms.cardinality(terms.union([bytes(r.bitmap) for r in parts])) == 400
+    assert {r.term: (r.records, r.occurrences) for r in terms.term_frequencies(df, "id", "normalized_text").collect()} == {"玉": (400, 400)}
