@@ -1,9 +1,10 @@
 """Sentences of texts in many languages and scripts.
 
-A pushdown automaton: it jumps from one telling character to the next (terminators, quotation marks, brackets, line breaks, Thai
-white space), with the open quotations and brackets of a paragraph on its stack. Inside them nothing ends; once the stack is empty a
-terminator ends a sentence unless it belongs to an abbreviation, a number, an address or a list label, or the clause goes on.
-Abbreviations are looked up in a trie that is read backwards from the dot.
+A pushdown automaton: it jumps from one telling character to the next (terminators, quotation marks, brackets, list labels, line
+breaks, Thai white space), with the open quotations, brackets and list levels of a paragraph on its stack. Inside quotations and
+brackets nothing ends, however deep they lie; a new list item closes what the one before left open. Outside a terminator ends a
+sentence unless it belongs to an abbreviation, a number, an address or a list label, or the clause goes on. Abbreviations are looked
+up in a trie that is read backwards from the dot, and judged by the paragraph's language and by the word that follows.
 """
 
 from __future__ import annotations
@@ -20,17 +21,37 @@ from pyspark.sql import functions as F
 #: Fixed values. Terminators that always end, and those that may.
 FULL = "。！？｡!?।॥؟۔።፧၊။។៕‼⁇⁈⁉﹗﹖︒"
 DOTS = ".．"
-OPENERS = {"(": ")", "（": "）", "[": "]", "［": "］", "{": "}", "【": "】", "〔": "〕", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "„": "“", "«": "»", "‚": "‘", "｢": "｣", "〝": "〟"}
+OPENERS = {"(": ")", "（": "）", "[": "]", "［": "］", "{": "}", "【": "】", "〔": "〕", "「": "」", "『": "』", "《": "》", "〈": "〉", "“": "”", "„": "“", "«": "»", "‹": "›", "‚": "‘", "｢": "｣", "〝": "〟"}
 CLOSERS = frozenset(OPENERS.values()) | {"”", "’", '"', "'", "›"}
-#: Abbreviations after whose dot a sentence never ends, without it; those before a name or number.
-ABBREVIATIONS = """
-mr mrs ms dr prof st sr rev hon gen col capt lt sgt messrs vs cf ca approx vol vols p pp no nos fig figs ed eds chap ch sec art nr bd bde
-s abb kap hrsg vgl bzw z b d h u a o ä v chr jh str ggf evtl inkl exkl zzgl sog ing dipl tab anm aufl verf übers geb gest
-m mm mme mmes mlle mlles éd ex t fol fo f av apr env réf art al trad coll auj boul av
-i.e e.g viz ibid op cit n.b jan feb mar apr jun jul aug sep sept oct nov dec dept univ inc ltd corp
-sra srta ud uds pág págs núm
+STRAIGHT = "\"'"
+#: What closes each sign on the stack; a straight quote closes itself.
+PARTNERS = OPENERS | {sign: sign for sign in STRAIGHT}
+#: Fixed values. Abbreviations without their dot, by language: titles and connecting words, behind which no sentence ends, and the others.
+NEVER = """
+mr mrs ms messrs dr prof st rev hon gen capt lt sgt vs cf ca approx viz i.e e.g n.b
+hrsg vgl bzw evtl ggf inkl exkl zzgl sog z d u o h ing dipl verf übers
+m mm mme mmes mlle mlles éd trad env réf
+sra srta ud uds
 डॉ श्री श्रीमती प्रो पं कु सु रु स्व ई सं
 """.split()
+ABBREVIATIONS = {
+    "en": "sr col vol vols p pp no nos fig figs ed eds chap ch sec art ibid op cit jan feb mar apr jun jul aug sep sept oct nov dec dept univ inc ltd corp".split(),
+    "de": "nr bd bde s abb kap b a ä v chr jh str tab anm aufl geb gest art p pp vol no fig jan feb mar apr jun jul aug sep sept oct nov dec".split(),
+    "fr": "ex t fol fo f av apr art al coll col auj boul vol vols p pp no nos fig figs chap ch éd".split(),
+    "es": "pág págs núm art vol".split(),
+}
+#: Words that often begin a sentence and hardly ever follow an abbreviation within one, and words that tell a language.
+STARTERS = frozenset("""
+The This That These Those He She It We They You Then There Here But And So When While After Before If Although However His Her Its Our Their My Some Many What Why How Now Yet Still Later
+Il Elle Ils Elles Nous Vous On Puis Mais Alors Ce Cette Ces Cela Ensuite Enfin Quand Si Ainsi
+Er Sie Es Wir Dann Aber Und Doch Danach Dies Diese Dieser Dieses Wenn Als Auch Hier Dort Jetzt So
+""".split())
+TELLING = {
+    "en": frozenset("the of and to is was in that it for with as on by he she we they at his her from this are were".split()),
+    "de": frozenset("der die das und ist war nicht ein eine von zu den dem des im mit auf für es er sie wir auch wird sich als".split()),
+    "fr": frozenset("le la les et est était un une de du des que qui dans pour il elle nous vous sur avec au aux par ce cette puis".split()),
+    "es": frozenset("el los las y es era un una de del que en para con por su al como más pero".split()),
+}
 #: Abbreviations that may stand at a sentence's end: there an upper-case word or the paragraph's end ends it.
 FINAL = "etc usw jr sr inc ltd co corp u.s u.k a.m p.m bros ff sqq v.chr n.chr ".split()
 MONTHS = """januar jänner februar feber märz april mai juni juli august september oktober november dezember
@@ -45,25 +66,41 @@ _BLANKS = " \u00a0\u3000\t\n\r"
 _EVENT = re.compile("[" + re.escape(FULL + DOTS + "".join(OPENERS) + "".join(CLOSERS)) + rf"]|(?<=[{_THAI}])[{_BLANKS}]+(?=[{_THAI}])")
 _LINE = r"(?:\r\n|[\n\r\x85\u2028])"
 _BLANK_LINE = re.compile(rf"{_LINE}[^\S\n\r\x85\u2028\u2029]*{_LINE}\s*|\u2029\s*")
+_WORD = re.compile(r"[^\W\d_]+")
+_BREAK = re.compile(r"[\n\r\x85\u2028]")
+#: A list label, at the beginning of a line.
+_ITEM = re.compile(r"[^\S\n\r\x85\u2028\u2029]*(?:\(?(?:\d{1,3}|[A-Za-z]|[ivxl]{1,5})[.)．）]|[-*•・‣◦])[ \t\u3000]")
 _THAI_DIGIT = frozenset("0123456789๐๑๒๓๔๕๖๗๘๙")
 
 
 @lru_cache(maxsize=1)
 def _abbreviation_trie() -> dict:
-    """Reversed abbreviations; the end of one maps "" to whether it may also be a sentence's last word."""
+    """Reversed abbreviations; the end of one maps "" to its languages, to None if no sentence ends behind it, or to "final" if one may."""
     root: dict = {}
-    for words, final in ((ABBREVIATIONS, False), (FINAL, True)):
+
+    def node_of(word: str) -> dict:
+        node = root
+        for char in reversed(word):
+            node = node.setdefault(char, {})
+        return node
+
+    for language, words in ABBREVIATIONS.items():
         for word in words:
-            node = root
-            for char in reversed(word):
-                node = node.setdefault(char, {})
-            node[""] = final
+            node = node_of(word)
+            node[""] = node.get("", frozenset()) | {language}
+    for word in NEVER:
+        node_of(word)[""] = None
+    for word in FINAL:
+        node_of(word)[""] = "final"
     return root
 
 
-def _abbreviation(text: str, dot: int, first: int) -> bool | None:
-    """Whether the word before a dot is an abbreviation: None if not, else whether it may end a sentence."""
-    node, at, found = _abbreviation_trie(), dot - 1, None
+_UNKNOWN = object()
+
+
+def _abbreviation(text: str, dot: int, first: int):
+    """What the trie holds for the longest abbreviation before a dot, or ``_UNKNOWN``."""
+    node, at, found = _abbreviation_trie(), dot - 1, _UNKNOWN
     while at >= first:
         node = node.get(text[at].lower())
         if node is None:
@@ -74,6 +111,14 @@ def _abbreviation(text: str, dot: int, first: int) -> bool | None:
     return found
 
 
+@lru_cache(maxsize=64)
+def _language(text: str, first: int, last: int) -> str | None:
+    """The language most of a paragraph's telling words are of; None without any, or if two have as many."""
+    counts = Counter(language for word in _WORD.findall(text, first, last) for language, words in TELLING.items() if word.lower() in words)
+    ranked = counts.most_common(2)
+    return ranked[0][0] if ranked and (len(ranked) == 1 or ranked[0][1] > ranked[1][1]) else None
+
+
 def _combining(char: str) -> bool:
     return "ऀ" <= char <= "ः" or "ऺ" <= char <= "ॏ" or "̀" <= char <= "ͯ"
 
@@ -114,7 +159,7 @@ def _goes_on(text: str, at: int, last: int) -> bool:
     return False
 
 
-def _dot_ends(text: str, at: int, begin: int, first: int, last: int) -> bool:
+def _dot_ends(text: str, at: int, begin: int, first: int, last: int, levels: Levels) -> bool:
     """Whether the dot at a place ends a sentence that began at ``begin``."""
     before, after = text[at - 1] if at > first else " ", text[at + 1] if at + 1 < last else " "
     if after.isdigit() and before.isdigit() or before in DOTS or after in DOTS:
@@ -131,17 +176,29 @@ def _dot_ends(text: str, at: int, begin: int, first: int, last: int) -> bool:
     if not ahead:
         return True
     known = _abbreviation(text, at, first)
-    if known is not None:
-        return known and not (ahead.islower() or ahead.isdigit() or ahead in GO_ON)
+    if known is None:
+        return False
+    if known == "final":
+        return not (ahead.islower() or ahead.isdigit() or ahead in GO_ON)
+    coming = _WORD.match(text, follow, last)
+    starts = coming is not None and coming.group() in STARTERS
+    initial = len(word) == 1 and word.isupper() and word.upper() != word.lower()
+    if known is not _UNKNOWN or initial:
+        if ahead.islower() or ahead.isdigit() or ahead in GO_ON:
+            return False
+        if at - 3 >= first and text[at - 2] in " \u00a0\u202f." and text[at - 1].isalpha() and text[at - 2 - (text[at - 2] != ".")] in DOTS:
+            return False  # the later part of an abbreviation of several
+        if starts:
+            return True
+        if initial or (own := _language(text, first, last)) is None or own in known:
+            return False
     if ahead.islower() or ahead in ",，、;；":
         return False
-    if len(word) == 1 and word.isalpha() and word.upper() != word.lower() and word.isupper():
-        return False  # an initial
     if 1 <= len(word) <= 3 and any("ऀ" <= c <= "ॿ" for c in word) and sum(not _combining(c) for c in word) == 1:
         return False  # an initial in Devanagari
     label = at - len(word)
-    if word and label == begin and _LABEL.match(word):
-        return False  # a label of a list
+    if levels.label(text, word, label, begin, first):
+        return False
     if word.isdigit():
         if ahead.isdigit():
             return False
@@ -154,30 +211,74 @@ def _dot_ends(text: str, at: int, begin: int, first: int, last: int) -> bool:
     return True
 
 
+def _straight(text: str, at: int, first: int, last: int) -> tuple[bool, bool]:
+    """Whether a straight quote may open and may close a quotation, by what stands beside it."""
+    before, after = text[at - 1] if at > first else " ", text[at + 1] if at + 1 < last else " "
+    dense = _cjk(before) or _cjk(after) or before in FULL
+    opens = not after.isspace() and (before.isspace() or before in OPENERS or before in "—–-/:，：、" or (text[at] == '"' and dense))
+    closes = not before.isspace() and (not after.isalnum() or (text[at] == '"' and dense))
+    return opens and (text[at] == '"' or after.isalnum()), closes
+
+
 def _matched(text: str, first: int, last: int) -> dict[int, int]:
-    """Opening signs of a paragraph with a closing partner: place -> partner's place. Lone signs are not in it."""
+    """Opening signs of a paragraph with a closing partner: place -> partner's place. Lone signs are not in it.
+
+    A new list item pops what lies above its level, so a sign that one item leaves open is not closed in another.
+    """
     stack: list[tuple[str, int]] = []
     waiting: Counter[str] = Counter()  # how many signs of the stack want a partner, so that only searches that end well are made
     pairs: dict[int, int] = {}
+    lines = [first, *(m.end() for m in _BREAK.finditer(text, first, last))]
+    items = [m.end() for line in reversed(lines) if (m := _ITEM.match(text, line, last))]
     for match in _EVENT.finditer(text, first, last):
         char = match.group()[0]
         at = match.start()
+        while items and items[-1] <= at:
+            items.pop()
+            while stack:
+                waiting[PARTNERS[stack.pop()[0]]] -= 1
+        opens, closes = _straight(text, at, first, last) if char in STRAIGHT else (char in OPENERS, char in CLOSERS)
         wants = (char, "“") if char == "”" else (char,)
-        if char in CLOSERS and any(waiting[w] for w in wants):
+        if closes and any(waiting[w] for w in wants):
             while True:
                 sign, place = stack.pop()
-                waiting[OPENERS[sign]] -= 1
-                if OPENERS[sign] in wants:
+                waiting[PARTNERS[sign]] -= 1
+                if PARTNERS[sign] in wants:
                     pairs[place] = at
                     break
-        elif char in OPENERS:
+        elif opens:
             stack.append((char, at))
-            waiting[OPENERS[char]] += 1
+            waiting[PARTNERS[char]] += 1
     return pairs
 
 
+class Levels:
+    """The list levels of a paragraph: the kind and the number of the last label of each, the deepest last."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+
+    def label(self, text: str, word: str, at: int, begin: int, first: int) -> bool:
+        """Whether a word before a dot is a list label: first of a sentence or line or behind a colon, or the next of an open level."""
+        if not word or not _LABEL.match(word):
+            return False
+        kind = "number" if word.isdigit() else "letter" if len(word) == 1 else "roman"
+        number = int(word) if kind == "number" else ord(word.lower()) - 96 if kind == "letter" else len(word)
+        before = at
+        while before > first and text[before - 1] in " \t\u00a0\u3000":
+            before -= 1
+        leading = at == begin or before == first or text[before - 1] in "\n\r\x85\u2028"
+        following = (kind, number - 1) in self.stack
+        if not (leading or (before < at and ((text[before - 1] in ":：" and number == 1) or (following and kind == "number")))):
+            return False
+        if following:
+            del self.stack[self.stack.index((kind, number - 1)) :]
+        self.stack.append((kind, number))
+        return True
+
+
 def _paragraph(text: str, first: int, last: int) -> Iterator[tuple[int, int]]:
-    pairs = _matched(text, first, last)
+    pairs, levels = _matched(text, first, last), Levels()
     begin = _solid(text, first, last)
     position = first
     while position < last:
@@ -210,7 +311,7 @@ def _paragraph(text: str, first: int, last: int) -> Iterator[tuple[int, int]]:
         elif char in FULL or (char in DOTS and begin <= at):
             if at < begin:
                 continue
-            if char in DOTS and not _dot_ends(text, at, begin, first, last):
+            if char in DOTS and not _dot_ends(text, at, begin, first, last, levels):
                 continue
             end = at + 1
             while end < last and (text[end] in FULL or (text[end] in DOTS and not text[end + 1 : end + 2].isalnum())):

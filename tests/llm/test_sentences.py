@@ -69,3 +69,14 @@ def test_stray_opening_signs_do_not_hide_a_partner(stray):
     parts = [f"“It {stray} was late. No one came.”", "Ben slept."]
     text = " ".join(parts)
     assert [text[a:b] for a, b in sentence_spans(text)] == parts
+
+
+@pytest.mark.parametrize("text,count", [
+    ('He said "Stop. Go home." and left.', 1), ("He said ‹Stop. Go.› and left. Then he came.", 2), ("He said 'Stop. Go home.' and left. It's John's. So be it.", 3),
+    ('他说"走吧。再见。"然后走了。好。', 3), ("(a [b {c 「d 『e 《f. g.》 h.』 i.」 j.} k.] l.) End. Next.", 3),
+    ("This is modern art. We liked it.", 2), ("He said no. Then he left.", 2), ("Close the tab. Open it again.", 2), ("Il a vu le col. Puis il part.", 2), ("He got a B. Then he left.", 2), ("We met in Oct. It rained.", 2),
+    ("See z. B. Die Lieder an. Das ist gut.", 2), ("M. Le Gall est venu. Il part.", 2), ("The text of no. 5 is lost. See fig. 3 and p. 4.", 2), ("Siehe Tab. 3 und die Abb. Linien.", 1), ("John B. Smith came. He left.", 2), ("Vgl. Die Lieder, S. 4.", 1),
+    ("Items: 1. Foo 2. Bar. Next one.", 2), ("1. One thing. 2. Another. (a) Third.", 3), ("first\n2. Foo bar.\n3. Baz.", 2), ('1. "open one. Two.\n2. Three" four. Five.', 4),
+])
+def test_contexts_of_quotes_abbreviations_and_lists(text, count):
+    assert len(sentence_spans(text)) == count, [text[a:b] for a, b in sentence_spans(text)]
