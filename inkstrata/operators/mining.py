@@ -13,6 +13,9 @@ from .numbering import place_within
 FUNCTION_CHARACTERS = "在之兮者也矣于於以而与與为為乃则則曰何所且将將公君我你"
 HARD_NEGATIVE = "死丧喪墓葬尸鬼刑杀殺戮辱贱賤凶灾災祸禍病疫殇殤"
 WINDOW_NEGATIVE = HARD_NEGATIVE + "踯躅愁悲哀怨恨泣泪淚苦忧憂患"
+#: The same two for names that are shown on their own, which have lists of their own.
+SCREEN_FUNCTION = "不无無未莫其之兮者也矣于於以而与與為为乃则則曰何所且将將公君我你今昔日中上下来去入出有又正曾"
+SCREEN_NEGATIVE = "墓葬死喪丧兵刑殺杀哀殤殇諷讽貶贬譏讥愁恨淚泪病苦怨孤寡鬼尸血災灾禍祸敗败辱賤贱惡恶凶"
 WARFARE = "兵战戰伐攻败敗虏虜斩斬围圍"
 NEAR = 4
 

@@ -44,13 +44,18 @@ def weighted_score(parts: dict[str, float], keep: Column) -> Column:
     return F.when(keep, T.round_half_up(total, 1)).otherwise(0.0)
 
 
+def unit_interval(value: Column) -> Column:
+    """A feature within [0, 1]; missing and infinite ones are 0."""
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
+    return F.when(finite, F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))).otherwise(0.0)
+
+
 def features(candidates: DataFrame) -> DataFrame:
-    """``item, features``: 13 values in [0, 1] from a candidate's scores; missing ones are 0."""
-    unit = lambda c: F.when(F.col(c).isNull() | F.isnan(c), 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(c) / 5)))
-    f, r, u, y = unit("feminine"), unit("rarity"), unit("usability"), unit("family_score")
-    exact = F.when(F.col("grade") == "A", 1.0).otherwise(0.0)
-    values = [0.5 * r + 0.5 * exact, f, 0.6 * f + 0.4 * u, u, r, 1 - r, u, u, 1 - r, r, y, exact, 1 - exact]
-    return candidates.select(F.col("given_name").alias("item"), F.array(*values).alias("features"))
+    """``item, features``: the 13 values in [0, 1] of a mined candidate, from its scores (0 to 5, family 0 to 2) and grade."""
+    f, r, u = (F.col(c) / 5 for c in ("feminine", "rarity", "usability"))
+    exact = F.when(F.col("grade") == "A", 1.0).otherwise(0.35)
+    values = [F.lit(0.9), f, f * 0.45 + 0.35, u * 0.45 + 0.25, r * 0.5 + 0.25, F.lit(0.15), F.lit(0.5), u, u, r, F.col("family_score") / 2, exact, F.lit(0.0)]
+    return candidates.select(F.col("given_name").alias("item"), F.array(*[unit_interval(v) for v in values]).alias("features"))
 
 
 def compare(candidates: DataFrame, chosen: list[str], attributes: list[str]) -> DataFrame:

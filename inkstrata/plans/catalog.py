@@ -119,6 +119,11 @@ def _joined(column: str) -> Column:
     return F.array_join(F.col(column).cast("array<string>"), ",").alias(column)
 
 
+def _choice() -> Column:
+    """An answer without letter case and outer white space."""
+    return F.lower(F.regexp_replace("choice", r"(?U)^\s+|\s+$", ""))
+
+
 def _search(t: Tables) -> DataFrame:
     return search.search(t.name_queries, t.settled, t.corpus_books, t.aliases)
 
@@ -251,7 +256,7 @@ def discovery_modes(spark, sf_dir):
 def rule_screen(spark, sf_dir):
     t = Tables(spark, sf_dir)
     rows = discovery_pool(spark, sf_dir).join(t.passages.select("id", "text"), "id")
-    ok = (F.col("grade") == "A") & (F.substring("name", 1, 1) != F.substring("name", 2, 1)) & ~F.col("name").rlike(f"[{mining.FUNCTION_CHARACTERS}]") & ~F.col("text").rlike(f"[{mining.WINDOW_NEGATIVE}]")
+    ok = (F.col("grade") == "A") & (F.substring("name", 1, 1) != F.substring("name", 2, 1)) & ~F.col("name").rlike(f"[{mining.SCREEN_FUNCTION}]") & ~F.col("text").rlike(f"[{mining.SCREEN_NEGATIVE}]")
     return rows.where(ok & (F.col("feminine") >= 4) & (F.col("rarity") >= 3.5) & (F.col("usability") >= 3.6)).select("name", "id", "score")
 
 
@@ -438,8 +443,9 @@ def pairwise_fold(spark, sf_dir):
     names = t.name_candidates.select(F.explode(F.array("given_name", "full_name")).alias("name"), F.col("given_name").alias("item"))
     rows = t.pairwise_feedback.groupBy("feedback_id").agg(F.min(F.struct("received_at", "profile_id", "left_name", "right_name", "choice", "recorded_at")).alias("f")).select("feedback_id", "f.*")
     sides = rows.join(names.select(F.col("name").alias("left_name"), F.col("item").alias("left")), "left_name").join(names.select(F.col("name").alias("right_name"), F.col("item").alias("right")), "right_name")
-    choices = sides.where("profile_id is not null and left <> right").select(F.col("profile_id").alias("profile"), "left", "right", F.lower(F.trim("choice")).alias("choice"), F.col("recorded_at").alias("at"), F.col("feedback_id").alias("seq"))
-    return preference.pairwise_weights(choices, pool.features(t.name_candidates), [0.0] * 13)
+    choices = sides.where("profile_id is not null and left <> right").select(F.col("profile_id").alias("profile"), "left", "right", _choice().alias("choice"), F.col("recorded_at").alias("at"), F.col("feedback_id").alias("seq"))
+    weights = preference.pairwise_weights(choices, pool.features(t.name_candidates), [0.0] * 13)
+    return weights.select("profile", F.posexplode("weights").alias("k", "weight"), "progress").withColumn("weight", T.round_half_up(F.col("weight"), 6))
 
 
 @query
@@ -534,7 +540,7 @@ def profile_lookup(spark, sf_dir):
 @query
 def exclusion(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    disliked = t.pairwise_feedback.where("lower(trim(choice)) = 'both-dislike'").select(F.explode(F.array("left_name", "right_name")).alias("name")).distinct()
+    disliked = t.pairwise_feedback.where(_choice() == "both-dislike").select(F.explode(F.array("left_name", "right_name")).alias("name")).distinct()
     return pool.without(t.name_candidates, disliked).select("id")
 
 

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from inkstrata.operators import mining, quality
+#: Fixed values, as in the statements of the operators: characters, lists and domains.
+FUNCTION_CHARACTERS = "在之兮者也矣于於以而与與为為乃则則曰何所且将將公君我你"
+HARD_NEGATIVE = "死丧喪墓葬尸鬼刑杀殺戮辱贱賤凶灾災祸禍病疫殇殤"
+WINDOW_NEGATIVE = "死丧喪墓葬尸鬼刑杀殺戮辱贱賤凶灾災祸禍病疫殇殤踯躅愁悲哀怨恨泣泪淚苦忧憂患"
+WARFARE = "兵战戰伐攻败敗虏虜斩斬围圍"
+SCREEN_FUNCTION = "不无無未莫其之兮者也矣于於以而与與為为乃则則曰何所且将將公君我你今昔日中上下来去入出有又正曾"
+SCREEN_NEGATIVE = "墓葬死喪丧兵刑殺杀哀殤殇諷讽貶贬譏讥愁恨淚泪病苦怨孤寡鬼尸血災灾禍祸敗败辱賤贱惡恶凶"
+CATEGORIES = ("经", "史", "子", "集", "字书")
+STATUSES = ("planned", "source-reviewed", "ready")
 
 HAN = r"\x{2E80}-\x{2FDF}\x{3005}\x{3007}\x{3021}-\x{3029}\x{3038}-\x{303B}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{323AF}"
 END = "。！？!?；;"
@@ -61,9 +69,11 @@ lx as (select unit, min(case when i = 1 then first_category else second_category
 MINED = P + "," + LEX + f""",
 src as (select pp.*, b.title, b.category as book_category, b.priority, coalesce(b.source.segmentation = 'punctuated', false) as punctuated,
   length(coalesce(normalized_text, '')) + least(length(regexp_replace(text, '[^()（）]', '', 'g')), 10) * 80 as penalty from pp join corpus_books b on b.id = book_id where b.source is not null),
-un as (select *, plain[pos + 1] as unit, row_number() over (partition by id order by pos) as i from (select *, unnest(range(0, length(plain))) as pos from src) where regexp_matches(plain[pos + 1], '[{HAN}]')),
-prs as (select a.id, a.book_id, a.title, a.book_category, a.priority, a.punctuated, a.penalty, a.unit as u1, b.unit as u2, b.i - a.i as distance from un a join un b on a.id = b.id and b.i between a.i + 1 and a.i + 4
-  where (b.i = a.i + 1 and b.pos = a.pos + 1) or (b.i > a.i + 1 and a.punctuated)),
+un as (select id, pos, plain[pos + 1] as unit from (select id, plain, unnest(range(0, length(plain))) as pos from src) where regexp_matches(plain[pos + 1], '[{HAN}]')),
+ld as (select id, unit as u1, pos, unnest([struct_pack(d := 1, u := lead(unit, 1) over k, p := lead(pos, 1) over k), struct_pack(d := 2, u := lead(unit, 2) over k, p := lead(pos, 2) over k),
+  struct_pack(d := 3, u := lead(unit, 3) over k, p := lead(pos, 3) over k), struct_pack(d := 4, u := lead(unit, 4) over k, p := lead(pos, 4) over k)]) as n from un window k as (partition by id order by pos)),
+lp as (select id, u1, n.u as u2, pos, n.p as pos2, n.d as distance from ld where u1 in (select unit from lx) and n.u in (select unit from lx)),
+prs as (select src.*, u1, u2, distance from lp join src using (id) where (distance = 1 and pos2 = pos + 1) or (distance > 1 and punctuated)),
 mined as (select u1 || u2 as name, case when distance = 1 and punctuated then 'A' else 'B' end as grade, id, book_id, title, book_category, distance,
   case when distance = 1 and punctuated then 10000 else 0 end + (x.feminine + y.feminine) / 2 * 120 + (x.usability + y.usability) / 2 * 90 + (x.rarity + y.rarity) / 2 * 45 + (x.family + y.family) * 80 + (4 - priority) * 60 - penalty as score,
   (x.feminine + y.feminine) / 2 as feminine, (x.rarity + y.rarity) / 2 as rarity, (x.usability + y.usability) / 2 as usability, x.family + y.family as family, x.category as category1, y.category as category2
@@ -74,7 +84,7 @@ RAW = LEX + """,
 rp as (select a.unit || b.unit as name, a.unit as u1, b.unit as u2, a.category as c1, b.category as c2, floor((a.feminine + b.feminine) / 2 * 10 + 0.5) / 10 as feminine,
   floor((a.usability + b.usability) / 2 * 10 + 0.5) / 10 as usability, a.family + b.family as family from lx a join lx b on a.unit <> b.unit)"""
 
-FACTORY = r"""fp as (select distinct id, lower(regexp_replace(book_id, '^\s+|\s+$', '', 'g')) as book_id, work_title, text, normalized_text, case when not isnan(score) then score end as score from factory_passages where book_id is not null)"""
+FACTORY = r"""fp as (select distinct id, lower(regexp_replace(book_id, '^\s+|\s+$', '', 'g')) as book_id, work_title, text, normalized_text, case when not isnan(score) then score end as score from factory_passages)"""
 
 CLAUSES = "al as (select string_agg(raw, '' order by raw) as raw, string_agg(normalized, '' order by raw) as normal from char_aliases)," + FACTORY + f""",
 cl0 as (select id, generate_subscripts(x, 1) as k, unnest(x) as c from (select id, regexp_extract_all(nfc_normalize(text), '[^，,{END}]+[，,{END}]?') as x from fp)),
@@ -89,8 +99,8 @@ wi0 as (select id, start, start + length(plain) as "end", clause as text, plain,
   union all select id, start + o, start + least(o + 24, length(plain)), plain[o + 1 : o + 24], plain[o + 1 : o + 24], 80 from (select *, unnest(range(0, length(plain), 16)) as o from nx where length(plain) > 40) where length(plain) - o >= 8 and (o = 0 or o + 8 < length(plain))
   union all select id, start, start + length(plain) + length(np), clause || nc, plain || np, 0 from nx where not closes and np is not null),
 wi as (select *, length(plain) as size, (select count(*) from unnest(range(2, length(plain) + 1)) t(i) where plain[i] = plain[i - 1]) as repeats from wi0
-  where length(plain) between 4 and 40 and not regexp_matches(plain, '[{mining.WINDOW_NEGATIVE}]') and length(regexp_replace(text, '[^{mining.WARFARE}]', '', 'g')) <= 1 and not regexp_matches(text, '[|0-9()（）\\[\\]{{}}]')),
-kn as (select * from lx where not contains('{mining.FUNCTION_CHARACTERS}', unit)),
+  where length(plain) between 4 and 40 and not regexp_matches(plain, '[{WINDOW_NEGATIVE}]') and length(regexp_replace(text, '[^{WARFARE}]', '', 'g')) <= 1 and not regexp_matches(text, '[|0-9()（）\\[\\]{{}}]')),
+kn as (select * from lx where not contains('{FUNCTION_CHARACTERS}', unit)),
 wid as (select *, row_number() over () as w from wi),
 po as (select w, x.unit as u1, y.unit as u2, (x.feminine + y.feminine) / 2 * 28 + (x.usability + y.usability) / 2 * 24 + (x.rarity + y.rarity) / 2 * 8 + case when d = 1 then 160.0 else greatest(30.0, 95.0 - d * 18) end as s
   from (select *, unnest([1, 2, 3, 4]) as d from (select *, unnest(range(1, length(plain) + 1)) as i from wid)) q join kn x on x.unit = plain[i] join kn y on y.unit = plain[i + d] where x.unit <> y.unit and i + d <= length(plain)),
@@ -104,7 +114,7 @@ nt as (select id, max(case when k = 1 then score end) as s1, max(case when k = 2
 nb as (select fp.id, coalesce(s1 + coalesce(s2, 0) * 0.35 + (4 - coalesce(greatest(1, least(3, priority)), 2)) * 30, -100000) as score, coalesce(naming, []) as naming from fp left join corpus_books b on b.id = fp.book_id left join nt on nt.id = fp.id)"""
 
 USABLE = FACTORY + f""",
-us as (select * from fp where length(normalized_text) between 8 and 480 and not regexp_matches(text, '[{mining.HARD_NEGATIVE}]') and length(regexp_replace(text, '[^{mining.WARFARE}]', '', 'g')) <= 2
+us as (select * from fp where length(normalized_text) between 8 and 480 and not regexp_matches(text, '[{HARD_NEGATIVE}]') and length(regexp_replace(text, '[^{WARFARE}]', '', 'g')) <= 2
   and length(regexp_replace(text, '[^|0-9]', '', 'g')) <= greatest(3.0, length(normalized_text) * 0.04) and score > -15)"""
 
 ITEMS = """it as (select cast(vec_id as varchar) as item, chr(cast(97 + vec_id % 26 as int)) || chr(cast(97 + floor(vec_id / 26) % 26 as int)) as name,
@@ -117,7 +127,8 @@ wt as (select "user", list_reduce(list(struct_pack(w := features, d := delta) or
   lambda a, s: struct_pack(w := list_transform(list_zip(a.w, s.w), lambda z: floor(least(3.0, greatest(-3.0, z[1] + 0.55 * s.d * (z[2] - 0.5))) * 1e12 + 0.5) / 1e12), d := 0.0::double),
   struct_pack(w := list_transform(range(13), lambda i: 0.0::double), d := 0.0::double)).w as weights, count(*) as events from dl group by "user"),
 ex as (select "user", item, arg_max(worth, struct_pack(a := tm, b := seq)) as signal from sg group by all having signal <> 0),
-ft0 as (select s."user", s.item, list_sum(list_transform(list_zip(weights, features), lambda z: z[1] * (z[2] - 0.5))) + coalesce(signal, 0) * 1.25 as u from (select distinct * from sh) s join wt using ("user") join it using (item) left join ex on ex."user" = s."user" and ex.item = s.item),
+pw as (select "user", coalesce(weights, list_transform(range(13), lambda i: 0.0::double)) as weights from (select distinct user_id as "user" from events where user_id is not null) left join wt using ("user")),
+ft0 as (select s."user", it.item, list_sum(list_transform(list_zip(weights, features), lambda z: z[1] * (z[2] - 0.5))) + coalesce(signal, 0) * 1.25 as u from pw s cross join it left join ex on ex."user" = s."user" and ex.item = it.item),
 ft as (select "user", item, case when u >= 36 then 1.0 when u <= -36 then 0.0 else 1 / (1 + exp(-u)) end as fit from ft0),
 pe as (select "user", item, count(*) as shown, least(0.48, ln(1 + count(*)) * 0.1) as penalty from sh group by all),
 rc as (select "user", item, row_number() over (partition by "user" order by min(struct_pack(a := tm, b := seq)) desc) as back from re group by "user", item qualify back <= 6)"""
@@ -131,14 +142,14 @@ def _similarity(a: str, b: str) -> str:
 
 NEXT = ITEMS + f""",
 stp as (select "user", count(distinct item) as step from re group by all),
-fr as (select ft.*, step from ft join stp using ("user") where not exists (select 1 from re where re."user" = ft."user" and re.item = ft.item)),
-mt as (select fr."user", fr.item, fr.fit, fr.step, coalesce(max({_similarity('a', 'b')}), 0) as closest, count(*) filter (a.sound = b.sound) as ss, count(*) filter (a.category = b.category) as sc, count(*) filter (a.relation = b.relation) as sr,
+fr as (select ft.*, coalesce(step, 0) as step from ft left join stp using ("user") where not exists (select 1 from re where re."user" = ft."user" and re.item = ft.item)),
+mt as (select fr."user", fr.item, fr.fit, fr.step, coalesce(max({_similarity('a', 'b')}), 0) as closest, count(*) filter (a.sound = b.sound) as ss, count(*) filter (a.category = b.category) as sc, count(*) filter (a.relation = b.relation) as sr, count(*) filter (a.style = b.style) as st,
   greatest(count(*) filter (contains(b.name, a.name[1])), count(*) filter (contains(b.name, a.name[2]))) as ms
   from fr join it a on a.item = fr.item left join rc on rc."user" = fr."user" left join it b on b.item = rc.item group by all),
 md as (select mt.*, ['fit', 'fit', 'diverse', 'fit', 'explore'][step % 5 + 1] as mode, coalesce(penalty, 0) as pn, 1 - closest as dv,
   case when ss = 0 and sc < 3 and ms < 2 then 0 when ss = 0 and ms < 2 then 1 when ss = 0 and ms < 3 then 2 else 3 end as level from mt left join pe on pe."user" = mt."user" and pe.item = mt.item),
 so as (select *, case when mode = 'explore' then (1 - abs(fit - 0.5) * 2) * 0.5 + dv * 0.3 + fit * 0.2 - pn
-  else fit * 0.75 + dv * 0.25 + case when mode = 'diverse' then (sr = 0)::int * 0.12 + (sc = 0)::int * 0.08 else 0 end - pn end as sco from md)
+  else fit * 0.75 + dv * 0.25 + case when mode = 'diverse' then (st = 0)::int * 0.18 + (sr = 0)::int * 0.12 + (sc = 0)::int * 0.08 else 0 end - pn end as sco from md)
 select "user", mode, level, item, floor(sco * 1e6 + 0.5) / 1e6 as score from so qualify row_number() over (partition by "user" order by level, sco desc, item) = 1"""
 
 
@@ -188,8 +199,8 @@ def _issues() -> str:
 
 def _report() -> str:
     parts = ["select 'total' as measure, 'passages' as key, count(*) as value from p", "select 'total', 'characters', coalesce(sum(length(normalized_text)), 0)::bigint from p", "select 'total', 'books', count(*) from corpus_books"]
-    parts += [f"select 'category', '{c}', count(*) from corpus_books where category = '{c}'" for c in quality.CATEGORIES]
-    parts += [f"select 'status', '{s}', count(*) from corpus_books where status = '{s}'" for s in quality.STATUSES]
+    parts += [f"select 'category', '{c}', count(*) from corpus_books where category = '{c}'" for c in CATEGORIES]
+    parts += [f"select 'status', '{s}', count(*) from corpus_books where status = '{s}'" for s in STATUSES]
     return _with(P, " union all ".join(parts))
 
 
@@ -201,15 +212,15 @@ def _citations() -> str:
     return _with(P, " union all ".join(parts))
 
 
-_FEATURES = """with u as (select given_name as item, case when grade = 'A' then 1.0 else 0.0 end as e, least(1.0, greatest(0.0, coalesce(feminine, 0) / 5)) as f, least(1.0, greatest(0.0, coalesce(rarity, 0) / 5)) as r,
-  least(1.0, greatest(0.0, coalesce(usability, 0) / 5)) as s, least(1.0, greatest(0.0, coalesce(family_score, 0) / 5)) as y from name_candidates),
-v as (select item, [0.5 * r + 0.5 * e, f, 0.6 * f + 0.4 * s, s, r, 1 - r, s, s, 1 - r, r, y, e, 1 - e] as x from u)
-select item, generate_subscripts(x, 1) - 1 as k, floor(unnest(x) * 1e9 + 0.5) / 1e9 as value from v"""
+_FEATURES = """with u as (select given_name as item, grade = 'A' as e, feminine / 5 as f, rarity / 5 as r, usability / 5 as s, family_score / 2 as y from name_candidates),
+v as (select item, [0.9, f, 0.35 + f * 0.45, 0.25 + s * 0.45, 0.25 + r * 0.5, 0.15, 0.5, s, s, r, y, case when e then 1.0 else 0.35 end, 0.0] as x from u)
+select item, generate_subscripts(x, 1) - 1 as k, floor(least(1.0, greatest(0.0, coalesce(unnest(x), 0))) * 1e9 + 0.5) / 1e9 as value from v"""
 
 _CULTURE = """with s as (select id, given_name, case when grade in ('A', 'B') then floor((coalesce(feminine, 0) * 5 + coalesce(family_score, 0) * 3 + coalesce(rarity, 0) * 3 + coalesce(usability, 0) * 2) * 10 + 0.5) / 10 else 0 end as score from name_candidates)
 select id, given_name, score, case when score <> 0 then (select count(*) from s b where b.score > s.score) + 1 end as rank from s"""
 
-_POOL = USABLE + """,
+_POOL = USABLE.replace("us as (", "us0 as (") + """,
+us as (select * from us0 where book_id is not null),
 z as (select count(*) as n, count(distinct book_id) as books, count(distinct (book_id, work_title)) filter (work_title is not null) as works from us),
 g as (select n, books, works, least(n, 4 * books) as target from z),
 l as (select *, least(n, greatest(256, target * 6)) as pool, greatest(1, cast(ceil(target / books) as bigint)) as fallback from g)
@@ -238,13 +249,27 @@ cs as (select c, row_number() over (order by c) - 1 as k, count(*) over () as n
 select name, row_number() over (partition by c1, c2 order by name) - 1 as turn, (y.k - x.k + x.n) % x.n as "offset", x.k as k1 from rp join cs x on x.c = c1 join cs y on y.c = c2"""
 
 _REASONS = ITEMS + """,
-l as (select s."user", s.item, list_transform(list_zip(weights, features, range(13)), lambda z: struct_pack(v := -z[1] * (z[2] - 0.5), i := z[3])) as x from (select distinct * from sh) s join wt using ("user") join it using (item))
+l as (select s."user", it.item, list_transform(list_zip(weights, features, range(13)), lambda z: struct_pack(v := -z[1] * (z[2] - 0.5), i := z[3])) as x from pw s cross join it)
 select "user", item, array_to_string(list_transform(list_sort(list_filter(x, lambda z: z.v < -0.04))[1:3], lambda z: 'f' || lpad(cast(z.i as varchar), 2, '0')), ',') as reasons from l"""
 
 _SCREEN = MINED + f"""
-select name, best.id, score from best join p on p.id = best.id where grade = 'A' and name[1] <> name[2] and not regexp_matches(name, '[{mining.FUNCTION_CHARACTERS}]') and not regexp_matches(text, '[{mining.WINDOW_NEGATIVE}]')
+select name, best.id, score from best join p on p.id = best.id where grade = 'A' and name[1] <> name[2] and not regexp_matches(name, '[{SCREEN_FUNCTION}]') and not regexp_matches(text, '[{SCREEN_NEGATIVE}]')
 and feminine >= 4 and rarity >= 3.5 and usability >= 3.6"""
 
+CHOICES = """fb as (select feedback_id, min(struct_pack(a := received_at, p := profile_id, l := left_name, r := right_name, c := choice, t := recorded_at)) as f from pairwise_feedback group by feedback_id),
+nm as (select distinct unnest([given_name, full_name]) as name, given_name as item from name_candidates),
+ch as (select f.p as profile, x.item as "left", y.item as "right", lower(regexp_replace(f.c, '^\\s+|\\s+$', '', 'g')) as choice, f.t as tm, feedback_id as seq from fb join nm x on x.name = f.l join nm y on y.name = f.r
+  where f.p is not null and x.item <> y.item)"""
+
+_PAIRWISE = "with " + CHOICES + ", fe as (select item, list(value order by k) as x from (" + _FEATURES + """) group by item),
+gp as (select profile, tm, seq, choice, case when choice = 'left' then list_transform(list_zip(a.x, b.x), lambda z: z[1] - z[2]) else list_transform(list_zip(a.x, b.x), lambda z: z[2] - z[1]) end as gap
+  from ch join fe a on a.item = "left" join fe b on b.item = "right" where choice in ('left', 'right', 'both-dislike')),
+fo as (select profile, count(*) as n, list_reduce(list(struct_pack(w := gap) order by tm, seq) filter (choice <> 'both-dislike'),
+  lambda a, s: struct_pack(w := list_transform(list_zip(a.w, s.w), lambda z: least(3.0, greatest(-3.0, 0.985 * (z[1] + z[2] * 0.4 * (1 - 1 / (1 + exp(-list_sum(list_transform(list_zip(a.w, s.w), lambda q: q[1] * q[2])))))))))),
+  struct_pack(w := list_transform(range(13), lambda i: 0.0::double))).w as w from gp group by profile)
+select profile, generate_subscripts(v, 1) - 1 as k, floor(unnest(v) * 1e6 + 0.5) / 1e6 as weight, progress from
+  (select profile, cast(least(8, n) as int) as progress, coalesce(w, list_transform(range(13), lambda i: 0.0::double)) as v from fo)"""
+
 _FOLD = 'select "user", generate_subscripts(weights, 1) - 1 as k, floor(unnest(weights) * 1e6 + 0.5) / 1e6 as weight, events from wt'
 
 
@@ -319,7 +344,8 @@ from (select query, grade, place, 0 as n, id_a as id from found union all select
         "best_per_name": _with(MINED, """select name, id, distance, grade, k = 1 as kept, case when k > 1 then 'weaker than ' || best_id end as reason from (select *, row_number() over o as k, first_value(id) over o as best_id from (select *, score + case grade when 'A' then 0.15 else 0.05 end as v from mined)
   window o as (partition by name order by v desc, id, distance, grade))"""),
         "profile_lookup": """select distinct f.profile_id as profile, c.id from pairwise_feedback f join name_candidates c on f.left_name in (c.given_name, c.full_name) or f.right_name in (c.given_name, c.full_name) where f.profile_id is not null""",
-        "exclusion": """with x as (select distinct unnest([left_name, right_name]) as name from pairwise_feedback where lower(trim(choice)) = 'both-dislike')
+        "pairwise_fold": _PAIRWISE,
+        "exclusion": r"""with x as (select distinct unnest([left_name, right_name]) as name from pairwise_feedback where lower(regexp_replace(choice, '^\s+|\s+$', '', 'g')) = 'both-dislike')
 select id from name_candidates where given_name not in (select name from x where name is not null) and full_name not in (select name from x where name is not null)""",
         "dimension_lists": """select 'category' as list, category as member, count(*) as n from corpus_books group by category union all select 'period', period, count(*) from corpus_books group by period
 union all select 'unit category', c, count(*) from (select unnest([first_category, second_category]) as c from name_candidates) group by c""",
