@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: What a reaction is worth, and the constants of the updates.
 SIGNALS = {"love": 1.0, "like": 0.45, "dislike": -1.0, "skip": 0.0}
-ONLINE_RATE, PAIR_RATE, SHRINKAGE, EXPLICIT, BOUND = 0.55, 0.4, 0.015, 1.25, 3.0
+ONLINE_RATE, PAIR_RATE, SHRINKAGE, EXPLICIT, BOUND, BOTH_DISLIKED = 0.55, 0.4, 0.015, 1.25, 3.0, -0.75
 
 
 def signal(reaction: Column) -> Column:
@@ -84,6 +84,74 @@ def explicit_feedback(events: DataFrame) -> DataFrame:
     return last.select("user", "item", signal(F.col("e.reaction")).alias("signal")).where("signal <> 0")
 
 
+def disliked(choices: DataFrame) -> DataFrame:
+    """``profile, item, signal``: both items of every ``both-dislike`` of a profile count -0.75. ``choices`` as of ``pairwise_weights``."""
+    both = choices.where("choice = 'both-dislike'").select("profile", F.explode(F.array("left", "right")).alias("item")).distinct()
+    return both.select("profile", "item", F.lit(BOTH_DISLIKED).alias("signal"))
+
+
+def exposure_counts(shown: DataFrame, events: DataFrame) -> DataFrame:
+    """``user, item, shown``: showings and reactions count 1, an ``undo`` of a reaction takes 1 back; items with none are left out.
+
+    ``events`` as of ``reaction_weights``, to whose fold an undo is a reaction worth nothing. An undo without a reaction before it
+    doesn't count.
+    """
+    line = Window.partitionBy("user", "item").orderBy("at", "seq")
+    before = F.lag("reaction").over(line)
+    step = F.when(F.col("reaction") != "undo", 1).when(before.isNotNull() & (before != "undo"), -1).otherwise(0)
+    steps = events.withColumn("n", step).select("user", "item", "n").unionByName(shown.select("user", "item", F.lit(1).alias("n")))
+    return steps.groupBy("user", "item").agg(F.sum("n").alias("shown")).where("shown > 0")
+
+
+def reacted_in_order(events: DataFrame) -> DataFrame:
+    """``user, item, at, seq``: items with a reaction that isn't undone, by their first reaction since the last undo."""
+    last = events.where("reaction = 'undo'").groupBy("user", "item").agg(F.max(F.struct("at", "seq")).alias("u"))
+    rows = events.where("reaction <> 'undo'").join(last, ["user", "item"], "left").where(F.col("u").isNull() | (F.struct("at", "seq") > F.col("u")))
+    return rows.groupBy("user", "item").agg(F.min(F.struct("at", "seq")).alias("k")).select("user", "item", "k.at", "k.seq")
+
+
+def list_states(events: DataFrame, compared: int = 4) -> DataFrame:
+    """``user, favourites, rejected, compared, explicit`` (items in the order they were added; item=signal) after all toggles in order.
+
+    ``events``: user (a number), item, list (favourite, reject or compare), at, seq. A favourite is no longer rejected, a rejected item
+    neither favourite nor compared; a full comparison takes no more. An added item has feedback 1, -1 or 0.25, a removed one none. The
+    fold is sequential in a user, streamed in sorted order; it holds that user's lists.
+    """
+    ordered = events.select("user", "item", "list", "at", "seq").repartition("user").sortWithinPartitions("user", "at", "seq")
+    names = ("favourite", "reject", "compare")
+    worth = dict(zip(names, (1.0, -1.0, 0.25)))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, lists, explicit = None, {}, {}
+
+        def row():
+            return (user, *[list(lists[n]) for n in names], [f"{k}={v:g}" for k, v in sorted(explicit.items())])
+
+        for part in parts:
+            out = []
+            for event in part.itertuples(index=False):
+                if event.user != user:
+                    if user is not None:
+                        out.append(row())
+                    user, lists, explicit = event.user, {n: {} for n in names}, {}
+                own, item = lists[event.list], event.item
+                if item in own:
+                    del own[item]
+                    explicit.pop(item, None)
+                else:
+                    if event.list != "compare" or len(own) < compared:
+                        own[item] = None
+                    explicit[item] = worth[event.list]
+                for other in {"favourite": ("reject",), "reject": ("favourite", "compare"), "compare": ()}[event.list]:
+                    lists[other].pop(item, None)
+            if out:
+                yield pd.DataFrame(out, columns=["user", "favourites", "rejected", "compared", "explicit"])
+        if user is not None:
+            yield pd.DataFrame([row()], columns=["user", "favourites", "rejected", "compared", "explicit"])
+
+    return ordered.mapInPandas(run, "user bigint, favourites array<string>, rejected array<string>, compared array<string>, explicit array<string>")
+
+
 def exposures(events: DataFrame) -> DataFrame:
     """``user, item, shown, penalty``."""
     counted = events.groupBy("user", "item").agg(F.count("*").alias("shown"))

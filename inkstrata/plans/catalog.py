@@ -583,3 +583,6 @@ def profile_round_trip(spark, sf_dir):
     stored = t.users.join(lists, "user", "left").select("user", profiles.to_text(weights, F.col("explicit"), F.col("events")).alias("profile"))
     read = stored.select("user", profiles.parsed(F.col("profile"), [f"f{k:02d}" for k in range(13)]).alias("p"))
     return read.select("user", "p.progress", F.size("p.explicit").alias("explicit"), T.round_half_up(F.get("p.weights", 0), 6).alias("weight"))
+
+
+from . import candidates  # noqa: E402, F401  (registers its queries)

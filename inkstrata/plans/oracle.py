@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import oracle_candidates
+
 #: Fixed values, as in the statements of the operators: characters, lists and domains.
 FUNCTION_CHARACTERS = "在之兮者也矣于於以而与與为為乃则則曰何所且将將公君我你"
 HARD_NEGATIVE = "死丧喪墓葬尸鬼刑杀殺戮辱贱賤凶灾災祸禍病疫殇殤"
@@ -355,4 +357,4 @@ union all select 'unit category', c, count(*) from (select unnest([first_categor
         "uneven_sources": _with(P, "select book_id from p group by book_id having count(distinct {'a': source_url, 'b': verification_url}) > 1"),
         "outline_sections": _with(P, f"""select work_id as book_id, row_number() over (partition by work_id order by ord, id) - 1 as n, trim(regexp_replace(work_title, '^[0-9]+\\s+', '')) as title, '卷' as chapter_title, t as text
   from (select *, regexp_replace(text, '\\s+', '', 'g') as t from p where work_title <> '') where regexp_matches(nfc_normalize(translate(t, (select raw from al), (select normal from al))), '[{HAN}]')"""),
-    }
+    } | oracle_candidates.statements(MINED, P, LEX, RAW, CHOICES, ITEMS, FACTORY, _ALLUSIONS, HAN, END)
