@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,16 +27,44 @@ def ordinals(passages: DataFrame) -> DataFrame:
     return rows.join(works, ["book_id", "work_id"]).join(books, "book_id").select("id", (F.col("b") - 1).alias("book_ord"), (F.col("w") - 1).alias("work_ord"), (F.col("p") - 1).alias("passage_ord"))
 
 
-def postings(passages: DataFrame, units: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``unit, id, positions`` over normalized_text; only the units of ``units`` if given.
-
-    ``carry`` names columns of a passage that go with its postings, so that nothing is joined to the many exploded rows.
+def _places(text_at: int, units: frozenset[str] | None):
+    """Every distinct character of a text with its places, made in the row: nothing is exploded and nothing shuffled."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = None
+        if units is not None:
+            known = np.zeros(0x110000, bool)
+            known[[ord(u) for u in units if len(u) == 1]] = True
+        for batch in batches:
+            texts = batch.column(text_at).to_pylist()
+            points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+            lengths = np.array([len(t) for t in texts], np.int64)
+            rows = np.repeat(np.arange(len(lengths)), lengths)
+            place = np.arange(len(points)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            if known is not None:
+                at = np.flatnonzero(known[points])
+                points, rows, place = points[at], rows[at], place[at]
+            key = (rows << 21) | points
+            order = np.argsort(key, kind="stable")
+            key, place = key[order], place[order]
+            starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            owner = pa.array(key[starts] >> 21)
+            made = [pa.array([chr(p) for p in (key[starts] & 0x1FFFFF).tolist()], pa.string()), pa.ListArray.from_arrays(pa.array(np.r_[starts, len(key)].astype(np.int32)), pa.array(place.astype(np.int32)))]
+            kept = [i for i in range(batch.num_columns) if i != text_at]
+            yield pa.record_batch([*made, *[batch.column(i).take(owner) for i in kept]], names=["unit", "positions", *[batch.schema.names[i] for i in kept]])
+
+    return build
+
+
+def postings(passages: DataFrame, units: frozenset[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``unit, id, positions`` over normalized_text; only those of ``units`` if given (at most as many as there are characters).
+
+    ``carry`` names columns of a passage that go with its postings, so that nothing is joined to the many rows.
     """
-    chars = T.characters(F.col("normalized_text"))
-    exploded = passages.where("normalized_text <> ''").select("id", *carry, F.posexplode(chars).alias("position", "unit"))
-    if units is not None:
-        exploded = exploded.join(units.select("unit").distinct(), "unit", "left_semi")
-    return exploded.groupBy("id", "unit", *carry).agg(F.array_sort(F.collect_list("position")).alias("positions")).select("unit", "id", "positions", *carry)
+    rows = passages.where("normalized_text <> ''").select("normalized_text", "id", *carry)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    found = rows.mapInArrow(_places(0, units), f"unit string, positions array<int>, {kept}")
+    return found.select("unit", "id", "positions", *carry)
 
 
 def ranked_passages(passages: DataFrame) -> DataFrame:

@@ -1,11 +1,17 @@
 """Evidence search: batches of one- and two-unit queries graded by how closely the units occur together.
 
-A adjacent, B in one passage, C in one work, D in one book, E in two books, F a single unit. All grades come from one set of
-postings reduced to the batch's units; each grade keeps its best few in order, so texts are joined only to what is shown.
+A adjacent, B in one passage, C in one work, D in one book, E in two books, F a single unit. All grades come from
+one pass over the passages: units that occur in a passage, and neighbours among them, meet the queries in the passage's own task, which
+hands on its best few by query and grade (A, B, F) and its first two by query, side and work (C, and from its first ones D and E).
+So what is shuffled depends on the queries and works, not on how often a unit occurs, and texts are joined only to what is shown.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +23,79 @@ from . import index
 #: How many matches of a grade a query shows.
 LIMITS = {"A": 8, "B": 8, "C": 6, "D": 6, "E": 6, "F": 8}
 
-_ADJACENT = "exists({0}, p -> array_contains({1}, p + 1))"
+#: Queries that are answered in one pass over the passages; each task holds them.
+BLOCK = 50_000
+_FOUND = "query string, grade string, kind string, side int, id string, book_ord bigint, work_ord bigint, rank bigint, passage_ord bigint"
+_KINDS = np.array(["adjacent", "reversed", "apart", ""], object)
+_GRADES = np.array(["A", "B", "F0", "F1", "F2"], object)
+
+
+def _leading(groups: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
+    """The places of the first ``n`` of each group by order."""
+    line = np.lexsort((order, groups))
+    sorted_ = groups[line]
+    starts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(line) else np.zeros(0, np.int64)
+    turn = np.arange(len(line)) - np.repeat(starts, np.diff(np.r_[starts, len(line)]))
+    return line[turn < n]
+
+
+def _evidence(names: list[str], first: np.ndarray, second: np.ndarray):
+    """Passages against a block of queries: ``first`` and ``second`` have the code points of each query's units, 0 for none."""
+    by = [np.argsort(side, kind="stable") for side in (first, second)]
+    sorted_ = [side[order] for side, order in zip((first, second), by)]
+    title = np.array(names, object)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(0x110000, bool)
+        known[first], known[second], known[0] = True, True, False
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+            lengths = np.array([len(t) for t in texts], np.int64)
+            rows = np.repeat(np.arange(len(lengths)), lengths)
+            mine = known[points]
+            near = np.flatnonzero(mine[:-1] & mine[1:] & (rows[:-1] == rows[1:])) if len(points) else np.zeros(0, np.int64)
+            neighbours = np.unique((rows[near] << 42) | (points[near] << 21) | points[near + 1])
+            at = np.flatnonzero(mine)
+            held, counts = np.unique((rows[at] << 21) | points[at], return_counts=True)
+            row, point = held >> 21, held & 0x1FFFFF
+
+            def met(side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                """Query, row and count of every unit of a side that occurs."""
+                low, high = np.searchsorted(sorted_[side], point), np.searchsorted(sorted_[side], point, side="right")  # noqa: B023
+                times = high - low
+                offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                return by[side][np.repeat(low, times) + offset], np.repeat(row, times), np.repeat(counts, times)  # noqa: B023
+
+            (qa, ra, na), (qb, rb, _) = met(0), met(1)
+            columns = [batch.column(i) for i in range(1, batch.num_columns)]
+            book, work, place, rank = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns[1:])
+            size = len(lengths) + 1
+            ka, kb = qa * size + ra, qb * size + rb
+            lone = ~np.isin(kb, ka)
+            query, own, count = np.r_[qa, qb[lone]], np.r_[ra, rb[lone]], np.r_[na, np.zeros(lone.sum(), np.int64)]
+            both, twice = np.r_[np.isin(ka, kb), np.zeros(lone.sum(), bool)], first[query] == second[query]
+            pair = lambda a, b: np.isin((own << 42) | (a << 21) | b, neighbours)  # noqa: B023, E731
+            forward, backward = pair(first[query], second[query]), pair(second[query], first[query])
+            kind = np.select([both & ~twice & forward, both & ~twice & backward, both & ~twice, twice & (count > 1) & forward, twice & (count > 1)], [0, 1, 2, 0, 2], 3)
+            grade = np.select([kind == 0, kind < 3, (second[query] == 0) | twice, count > 0], [0, 1, 2, 3], 4)
+            order = (rank[own] << 44) | place[own]
+            best = _leading(query * 5 + grade, order, 8)
+            yield _rows(title, query[best], _GRADES[grade[best]], _KINDS[kind[best]], np.zeros(len(best), np.int32), own[best], columns)
+            two = second[qa] != 0
+            query, own, side = np.r_[qa[two], qb], np.r_[ra[two], rb], np.r_[np.ones(two.sum(), np.int32), np.full(len(qb), 2, np.int32)]
+            best = _leading(np.unique(np.stack([query, side, work[own]]), axis=1, return_inverse=True)[1].ravel() if len(query) else query, (rank[own] << 44) | place[own], 2)
+            yield _rows(title, query[best], np.full(len(best), "W", object), np.full(len(best), "", object), side[best], own[best], columns)
+
+    return run
+
+
+def _rows(title, query, grade, kind, side, own, columns) -> pa.RecordBatch:
+    ids, book, work, place, rank = (c.take(pa.array(own)) for c in columns)
+    return pa.record_batch(
+        [pa.array(title[query], pa.string()), pa.array(grade, pa.string()), pa.array(kind, pa.string()), pa.array(side, pa.int32()), ids, book.cast(pa.int64()), work.cast(pa.int64()), rank.cast(pa.int64()), place.cast(pa.int64())],
+        names=[f.split()[0] for f in _FOUND.split(", ")],
+    )
 
 
 def _first(df: DataFrame, keys: list[str], order: list, n: int, name: str = "i") -> DataFrame:
@@ -31,52 +109,43 @@ def search(queries: DataFrame, passages: DataFrame, books: DataFrame, aliases: t
     second passage of C, D and E. A match of grade A whose book isn't punctuated, or whose units aren't neighbours in the stored
     text, is shown in B, before the other B.
     """
-    q = queries.distinct()
-    units = q.select(F.explode(F.array("u1", "u2")).alias("unit")).where("unit is not null")
-    post = checkpointed(index.postings(index.ranked_passages(passages), units, ("book_ord", "work_ord", "passage_ord", "rank"))).withColumn("at", F.struct("rank", "passage_ord"))
-    side = lambda n: q.join(post.withColumnRenamed("unit", f"u{n}"), f"u{n}")
-    left, right = side(1), side(2)
-    two = q.where("u2 is not null")
-
-    near = left.where("u1 <> u2").select("query", "id", "at", F.col("positions").alias("p1")).join(right.select("query", "id", F.col("positions").alias("p2")), ["query", "id"])
-    forward, backward = F.expr(_ADJACENT.format("p1", "p2")), F.expr(_ADJACENT.format("p2", "p1"))
-    near = near.select("query", "id", "at", F.when(forward, "adjacent").when(backward, "reversed").otherwise("apart").alias("kind"))
-    same = left.where("u1 = u2 and size(positions) > 1").select("query", "id", "at", F.when(F.expr(_ADJACENT.format("positions", "positions")), "adjacent").otherwise("apart").alias("kind"))
-    ab = near.unionByName(same).withColumn("grade", F.when(F.col("kind") == "adjacent", "A").otherwise("B"))
-    ab = _first(ab, ["query", "grade"], ["at"], 8).select("query", "grade", "i", "kind", F.col("id").alias("id_a"))
+    q = queries.distinct().orderBy("query", "u1", "u2").toPandas()  # the batch of the caller
+    code = lambda c: np.array([ord(u) if isinstance(u, str) and len(u) == 1 else 0 for u in q[c]], np.int64)
+    first, second = code("u1"), code("u2")
+    ranked = index.ranked_passages(passages).where("normalized_text <> ''").select("normalized_text", "id", "book_ord", "work_ord", "passage_ord", "rank")
+    evidence = None
+    for k in range(0, max(1, len(q)), BLOCK):
+        part = ranked.mapInArrow(_evidence(q["query"].tolist()[k : k + BLOCK], first[k : k + BLOCK], second[k : k + BLOCK]), _FOUND)
+        evidence = part if evidence is None else evidence.unionByName(part)
+    evidence = checkpointed(evidence).withColumn("at", F.struct("rank", "passage_ord"))
+    two = passages.sparkSession.createDataFrame([(x, a, b) for x, a, b in zip(q["query"], q["u1"], q["u2"]) if isinstance(b, str)], "query string, u1 string, u2 string")
+    found = _first(evidence.where("grade <> 'W'"), ["query", "grade"], ["at"], 8)
+    ab = found.where("grade in ('A', 'B')").select("query", "grade", "i", "kind", F.col("id").alias("id_a"))
     texts = passages.join(books.select(F.col("id").alias("book_id"), F.col("source.segmentation").alias("segmentation")), "book_id", "left").select(F.col("id").alias("id_a"), "segmentation", T.simplified(F.col("text"), *aliases).alias("plain"))
     direct = F.coalesce((F.col("segmentation") == "punctuated") & (F.instr(F.col("plain"), F.concat("u1", "u2")) > 0), F.lit(False))
     shown = ab.join(two, "query").join(texts, "id_a").withColumn("shown", F.when((F.col("grade") == "A") & ~direct, "B").otherwise(F.col("grade")))
     place = F.row_number().over(Window.partitionBy("query", "shown").orderBy("grade", "i"))
     ab = shown.select("query", F.col("shown").alias("grade"), place.alias("place"), F.when(F.col("shown") == F.col("grade"), F.col("kind")).otherwise("adjacent, not direct").alias("kind"), "id_a", F.lit(None).cast("string").alias("id_b"))
+    lone = found.where(f"grade = 'F0' or grade in ('F1', 'F2') and i <= {LIMITS['F'] // 2}")
+    f = lone.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("grade", "i"))).select("query", F.lit("F").alias("grade"), "place", F.col("id").alias("id_a"), F.lit(None).cast("string").alias("id_b"))
 
-    def best(df: DataFrame, keys: list[str], n: int) -> DataFrame:
-        return _first(df, keys, ["at"], n)
+    # By work: the first two postings of either side; books and pairs of books take theirs from these.
+    works = _first(evidence.where("grade = 'W'"), ["query", "side", "work_ord"], ["at"], 2)
 
-    def paired(a: DataFrame, b: DataFrame, keys: list[str], apart: str) -> DataFrame:
+    def paired(rows: DataFrame, keys: list[str], apart: str) -> DataFrame:
         """The first pair, in the order of the left then of the right postings, that differs in ``apart``."""
-        x = a.select(*keys, F.col("i").alias("ia"), F.col("id").alias("id_a"), F.col(apart).alias("xa"))
-        y = b.select(*keys, F.col("i").alias("ib"), F.col("id").alias("id_b"), F.col(apart).alias("xb"))
+        x = rows.where("side = 1").select(*keys, F.col("i").alias("ia"), F.col("id").alias("id_a"), F.col(apart).alias("xa"))
+        y = rows.where("side = 2").select(*keys, F.col("i").alias("ib"), F.col("id").alias("id_b"), F.col(apart).alias("xb"))
         pairs = x.join(y, keys).where("xa <> xb")
         return pairs.groupBy(*keys).agg(F.min(F.struct("ia", "ib", "id_a", "id_b")).alias("p")).select(*keys, "p.id_a", "p.id_b")
 
-    columns = ["query", "id", "at", "book_ord", "work_ord", "passage_ord"]
-    l, r = left.where("u2 is not null").select(*columns), right.select(*columns)
-    c = paired(best(l, ["query", "work_ord"], 2), best(r, ["query", "work_ord"], 2), ["query", "work_ord"], "passage_ord")
-    c = _first(c, ["query"], [F.col("work_ord").cast("string")], LIMITS["C"], "place").withColumn("grade", F.lit("C"))
-    heads = lambda s: best(best(s, ["query", "book_ord", "work_ord"], 1).drop("i"), ["query", "book_ord"], 2)
-    d = paired(heads(l), heads(r), ["query", "book_ord"], "work_ord")
-    d = _first(d, ["query"], [F.col("book_ord").cast("string")], LIMITS["D"], "place").withColumn("grade", F.lit("D"))
+    c = _first(paired(works, ["query", "work_ord"], "passage_ord"), ["query"], [F.col("work_ord").cast("string")], LIMITS["C"], "place").withColumn("grade", F.lit("C"))
+    heads = checkpointed(_first(works.where("i = 1").drop("i"), ["query", "side", "book_ord"], ["at"], 2))
+    d = _first(paired(heads, ["query", "book_ord"], "work_ord"), ["query"], [F.col("book_ord").cast("string")], LIMITS["D"], "place").withColumn("grade", F.lit("D"))
     # The first pairs in order of both books lie among the first few books of either side.
-    few = lambda s: _first(best(s, ["query", "book_ord"], 1).drop("i"), ["query"], [F.col("book_ord").cast("string")], LIMITS["E"] + 1)
-    e = few(l).select("query", F.col("book_ord").alias("b1"), F.col("id").alias("id_a")).join(few(r).select("query", F.col("book_ord").alias("b2"), F.col("id").alias("id_b")), "query").where("b1 <> b2")
-    e = _first(e, ["query"], [F.col("b1").cast("string"), F.col("b2").cast("string")], LIMITS["E"], "place").withColumn("grade", F.lit("E"))
-
-    lone = left.where("u2 is not null and u1 <> u2").select("query", "id", "at", F.lit(1).alias("side")).join(right.select("query", "id"), ["query", "id"], "left_anti")
-    other = right.where("u1 <> u2").select("query", "id", "at", F.lit(2).alias("side")).join(left.select("query", "id"), ["query", "id"], "left_anti")
-    halves = _first(lone.unionByName(other), ["query", "side"], ["at"], LIMITS["F"] // 2)
-    whole = _first(left.where("u2 is null or (u1 = u2 and size(positions) = 1)").select("query", "id", "at", F.lit(1).alias("side")), ["query"], ["at"], LIMITS["F"])
-    f = halves.unionByName(whole).withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy("side", "i"))).withColumn("grade", F.lit("F")).withColumnRenamed("id", "id_a").withColumn("id_b", F.lit(None).cast("string"))
+    few = _first(heads.where("i = 1").select("query", "side", "book_ord", "id"), ["query", "side"], [F.col("book_ord").cast("string")], LIMITS["E"] + 1)
+    book = lambda n, i: few.where(F.col("side") == n).select("query", F.col("book_ord").alias(f"b{n}"), F.col("id").alias(i))
+    e = _first(book(1, "id_a").join(book(2, "id_b"), "query").where("b1 <> b2"), ["query"], [F.col("b1").cast("string"), F.col("b2").cast("string")], LIMITS["E"], "place").withColumn("grade", F.lit("E"))
     kinds = {"C": "one work", "D": "one book", "E": "two books", "F": "single"}
     rest = [x.select("query", "grade", "place", F.lit(kinds[g]).alias("kind"), "id_a", "id_b") for g, x in zip("CDEF", (c, d, e, f))]
     return ab.unionByName(rest[0]).unionByName(rest[1]).unionByName(rest[2]).unionByName(rest[3])
