@@ -152,11 +152,12 @@ def search(queries: DataFrame, passages: DataFrame, books: DataFrame, aliases: t
 
 
 def citations(matches: DataFrame, passages: DataFrame, books: DataFrame) -> DataFrame:
-    """One row for every passage a match cites, with its text and book; a missing book falls back to its id."""
+    """One row for every passage a match cites, with its text and book; a missing passage raises, a missing book falls back to its id."""
     cited = matches.select("query", "grade", "place", F.posexplode(F.array_compact(F.array("id_a", "id_b"))).alias("n", "id"))
     shelf = books.select(F.col("id").alias("book_id"), "title", "category")
-    found = cited.join(passages.select("id", "book_id", "work_title", "chapter_title", "text", "source_url", "verification_url"), "id").join(shelf, "book_id", "left")
-    return found.select("query", "grade", "place", "n", "id", "book_id", F.coalesce("title", "book_id").alias("book_title"), F.coalesce("category", F.lit("古籍")).alias("category"), "work_title", "chapter_title", "text", "source_url", "verification_url")
+    found = cited.join(passages.select("id", "book_id", "work_title", "chapter_title", "text", "source_url", "verification_url", F.lit(True).alias("_known")), "id", "left").join(shelf, "book_id", "left")
+    there = F.when(F.col("_known").isNotNull(), F.col("id")).otherwise(F.raise_error(F.concat(F.lit("no passage: "), "id")))
+    return found.select("query", "grade", "place", "n", there.alias("id"), "book_id", F.coalesce("title", "book_id").alias("book_title"), F.coalesce("category", F.lit("古籍")).alias("category"), "work_title", "chapter_title", "text", "source_url", "verification_url")
 
 
 def grade_counts(matches: DataFrame) -> DataFrame:

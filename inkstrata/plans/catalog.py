@@ -179,13 +179,13 @@ def bucket_histogram(spark, sf_dir):
 
 @query
 def sentence_split(spark, sf_dir):
-    return Tables(spark, sf_dir).passages.select("id", F.posexplode(T.split_sentences(F.col("text"))).alias("n", "sentence"))
+    return Tables(spark, sf_dir).passages.select("id", F.posexplode(T.split_sentences(T.nfc(F.col("text")))).alias("n", "sentence"))
 
 
 @query
 def search_text(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return t.passages.select("id", T.han_only(T.simplified(F.col("text"), *t.aliases)).alias("plain"))
+    return t.passages.select("id", T.search_text(F.col("text"), *t.aliases).alias("plain"))
 
 
 @query
@@ -219,7 +219,8 @@ def citation_verify(spark, sf_dir):
 @query
 def name_validation(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    return quality.name_validation(t.lexicon, t.name_candidates.select("id", "quote", "work_title"), t.name_candidates)
+    fragments = t.passages.select("id", F.col("normalized_text").alias("quote"), F.col("chapter_title").alias("work_title"))
+    return quality.name_validation(t.lexicon, fragments, t.name_candidates)
 
 
 @query

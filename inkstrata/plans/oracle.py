@@ -291,15 +291,15 @@ from (select query, grade, place, 0 as n, id_a as id from found union all select
         "alias_pairs": _with(P, "select distinct raw, normalized from char_aliases where raw <> normalized and exists (select 1 from p where contains(text, raw))"),
         "bucket_histogram": _with(POSTINGS, "select lpad(printf('%x', unicode(unit) // 256), 3, '0') as bucket, count(distinct unit) as units, sum(len(positions))::bigint as occurrences from post group by bucket"),
         "sentence_split": _with(P, rf"""select id, row_number() over (partition by id order by k) - 1 as n, sentence from (select id, k, regexp_replace(s, '^[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+|[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+$', '', 'g') as sentence
-  from (select id, generate_subscripts(x, 1) as k, unnest(x) as s from (select id, regexp_extract_all(text, '[^{END}]+[{END}]?') as x from p))) where sentence <> ''"""),
-        "search_text": _with(P, f"select id, regexp_replace(plain, '[^{HAN}]', '', 'g') as plain from pp"),
+  from (select id, generate_subscripts(x, 1) as k, unnest(x) as s from (select id, regexp_extract_all(nfc_normalize(text), '[^{END}]+[{END}]?') as x from p))) where sentence <> ''"""),
+        "search_text": _with(P, f"select id, regexp_replace(translate(nfc_normalize(text), (select raw from al), (select normal from al)), '[^{HAN}]', '', 'g') as plain from p"),
         "indexed_render": _with(P, "select id, x as rendered, length(x) as size from (select id, coalesce(array_to_string(list_transform(range(length(normalized_text)), lambda i: '[' || i || ']' || normalized_text[i + 1]), ' '), '') as x from p where normalized_text is not null)"),
         "corpus_report": _report(),
         "quality_issues": _issues(),
         "ready_gate": "select count(*) as books, count(*) filter (status = 'ready') as ready_books from corpus_books",
         "citation_verify": _citations(),
-        "name_validation": f"""with {LEX} select 'TOO_FEW_UNITS' as code, cast(count(*) as varchar) as target_id from lx having count(*) < 145
-  union all select 'FRAGMENT_FIELD_MISSING', id from name_candidates where {_blank('quote')} or {_blank('work_title')}
+        "name_validation": f"""with {P}, {LEX} select 'TOO_FEW_UNITS' as code, cast(count(*) as varchar) as target_id from lx having count(*) < 145
+  union all select 'FRAGMENT_FIELD_MISSING', id from p where {_blank('normalized_text')} or {_blank('chapter_title')}
   union all select 'DUPLICATE_NAME', given_name from name_candidates group by given_name having count(*) > 1
   union all select 'SCORE_OUT_OF_RANGE', id from name_candidates where not coalesce(feminine between 0 and 5, true) or not coalesce(rarity between 0 and 5, true) or not coalesce(usability between 0 and 5, true) or not coalesce(family_score between 0 and 5, true)""",
         "lexicon": _with(LEX, "select * from lx"),

@@ -40,7 +40,7 @@ pt as (select pt0.*, coalesce(strpos(a.normalized_text, pt0.name[1]), 0) - 1 as
 sz as (select id, book_id, work_title, list_transform(regexp_extract_all(nfc_normalize(text), '[^{END}]+[{END}]?'), lambda s: length(regexp_replace(translate(s, al.raw, al.normal), '[^{HAN}]', '', 'g'))) as sizes from p cross join al),
 rl as (select pt.id, p1, i1, p2, greatest(i2, 0) as i2, a.book_id as b1, b.book_id as b2, a.work_title as w1, b.work_title as w2, a.sizes as s1, b.sizes as s2 from pt join sz a on a.id = p1 join sz b on b.id = p2 where i1 >= 0)"""
     issues = pointers + f""",
-tl as (select id, book_id, work_title, normalized_text, regexp_replace(nfc_normalize(plain), '[^{HAN}]', '', 'g') as plain from pp),
+tl as (select id, book_id, work_title, normalized_text, regexp_replace(translate(nfc_normalize(text), (select raw from al), (select normal from al)), '[^{HAN}]', '', 'g') as plain from p),
 pr as (select id, name, {RELATION} as relation, p1, translate(name[1], (select raw from al), (select normal from al)) as c1, case when i2 < 0 then 'gone' else p2 end as p2, translate(name[2], (select raw from al), (select normal from al)) as c2 from pt),
 pj as (select pr.*, a.id as k1, b.id as k2, a.plain as t1, b.plain as t2, a.book_id as b1, b.book_id as b2, a.work_title as w1, b.work_title as w2, a.normalized_text as n1 from pr left join tl a on a.id = p1 left join tl b on b.id = p2)"""
     rules = [

@@ -76,7 +76,7 @@ def too_large(artifacts: DataFrame, limits: dict[str, int], default: int = 1 <<
 
 
 def publish_json(spark, path: str, value, validate: Callable) -> None:
-    """Writes a small JSON artifact whole or not at all: validated, written beside its place, read and validated again, renamed.
+    """Writes a small JSON artifact whole or not at all: validated, written beside its place, read and validated again, renamed over what was there.
 
     Content that looks like a secret is refused. Works on any file system Spark knows.
     """
@@ -93,10 +93,9 @@ def publish_json(spark, path: str, value, validate: Callable) -> None:
         out.write(bytearray(text.encode()))
         out.close()
         validate(json.loads(_read(files, beside, jvm)))
-        if files.exists(to):
-            files.delete(to, False)
-        if not files.rename(beside, to):
-            raise OSError(f"can't rename to {path}")
+        overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.makeQualified(to).toUri(), conf).rename(files.makeQualified(beside), files.makeQualified(to), overwrite)
     finally:
         files.delete(beside, False)
 

@@ -50,18 +50,34 @@ def weights(events: DataFrame, features: DataFrame, size: int) -> DataFrame:
     return known.groupBy("user").applyInPandasWithState(_update(size), _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def replay(spark: SparkSession, events: DataFrame, features: DataFrame, size: int) -> DataFrame:
-    """Streams a table of events through ``weights`` and returns the last state of every user."""
+def replay(spark: SparkSession, events: DataFrame, features: DataFrame, size: int, slices: int = 3) -> DataFrame:
+    """Streams a table of events through ``weights``, slice by slice of time, and returns the last state of every user.
+
+    Each slice is a run of its own that takes up the state the one before left in the checkpoint, as after a restart. The slices are
+    of about equal numbers of events; their bounds come from approximate quantiles, so nothing is ordered for it.
+    """
     at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    events.write.parquet(f"{at}/events")
-    source = spark.readStream.schema(events.schema).parquet(f"{at}/events")
+    second = F.col("at").cast("timestamp").cast("double")
+    bounds = events.select(second.alias("s")).approxQuantile("s", [k / slices for k in range(1, slices)], 0.01)
+    edges = [None, *sorted(set(bounds)), None]
+    number = 0
 
-    def keep(batch: DataFrame, number: int) -> None:
+    def keep(batch: DataFrame, _: int) -> None:
+        nonlocal number
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{at}/out/n={number}")
-
-    run = weights(source, features, size).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
-    run.awaitTermination()
-    if run.exception():
-        raise run.exception()
+        number += 1
+
+    for low, high in zip(edges, edges[1:]):
+        rule = F.lit(True)
+        if low is not None:
+            rule = rule & (second >= low)
+        if high is not None:
+            rule = rule & (second < high)
+        events.where(rule).write.mode("append").parquet(f"{at}/events")
+        source = spark.readStream.schema(events.schema).parquet(f"{at}/events")
+        run = weights(source, features, size).writeStream.outputMode("update").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(keep).start()
+        run.awaitTermination()
+        if run.exception():
+            raise run.exception()
     out = spark.read.parquet(f"{at}/out")
     return out.groupBy("user").agg(F.max_by(F.struct("weights", "events"), "batch").alias("s")).select("user", "s.weights", "s.events")
