@@ -113,7 +113,7 @@ win as (select id, start, "end", text, s[1] + coalesce(s[2], 0) * 0.3 + least(n,
 NAMEABLE = WINDOWS + """,
 nw as (select *, row_number() over (partition by id order by score desc, start, "end") as k from win),
 nt as (select id, max(case when k = 1 then score end) as s1, max(case when k = 2 then score end) as s2, list_sort(list_distinct(flatten(list(naming)))) as naming from nw where k <= 3 group by id),
-nb as (select fp.id, coalesce(s1 + coalesce(s2, 0) * 0.35 + (4 - coalesce(greatest(1, least(3, priority)), 2)) * 30, -100000) as score, coalesce(naming, []) as naming from fp left join corpus_books b on b.id = fp.book_id left join nt on nt.id = fp.id)"""
+nb as (select fp.id, coalesce(s1 + coalesce(s2, 0) * 0.35 + (4 - greatest(1, least(3, coalesce(priority, 2)))) * 30, -100000) as score, coalesce(naming, []) as naming from fp left join corpus_books b on b.id = fp.book_id left join nt on nt.id = fp.id)"""
 
 USABLE = FACTORY + f""",
 us as (select * from fp where length(normalized_text) between 8 and 480 and not regexp_matches(text, '[{HARD_NEGATIVE}]') and length(regexp_replace(text, '[^{WARFARE}]', '', 'g')) <= 2

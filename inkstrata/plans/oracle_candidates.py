@@ -89,7 +89,7 @@ where x.grade = 'B' and n.category = '子' and (contains(concat_ws('·', book_ti
   when regexp_matches(text, '人物|角色|同名|碰撞') then 'name-collision' when regexp_matches(text, '錄入|录入|識讀|识读|字形') then 'usability' else 'source-context' end as kind from p""",
         "features_seed": _features(seeds, styled),
         "features_reviewed": _features(reviewed, styled),
-        "adjusted_fit": f"""with a as (select id, category = '字书' as blocked, grade = 'A' as born, {fit} as f, {weight} as w, least(100, greatest(0, usability * 22)) / 100 as s from name_candidates),
+        "adjusted_fit": f"""with a as (select id, category = '字书' as blocked, grade = 'A' as born, {fit} as f, {weight} as w, case when usability is not null then least(100, greatest(0, usability * 22)) / 100 end as s from name_candidates),
 b as (select id, case when blocked or not born then 0.0 else w end as weight, case when blocked then null when not born or s is null then f else floor((f * (1 - w) + s * w) * 1000 + 0.5) / 1000 end as adjusted,
   case when blocked then 'blocked' when not born then 'not yet born' when s is null then 'no score' else 'recorded' end as status from a)
 select *, row_number() over (order by coalesce(adjusted, -1) desc, id) as place from b""",
